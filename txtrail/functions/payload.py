@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,18 +128,25 @@ def payload_schema(columns: Iterable[SourceColumn]) -> T.StructType:
     return T.StructType([T.StructField(c.name, spark_type(c), c.nullable) for c in columns])
 
 
-def typed_payload(data: Column | str, side: str, columns: Iterable[SourceColumn]) -> Column:
-    """One side of the payload as a typed struct.
+def with_typed(
+    df: DataFrame, columns: Iterable[SourceColumn], data: str = "data"
+) -> DataFrame:
+    """Adds the structs `before` and `after` with typed columns; NULL for a side without any of them.
 
     Times and decimals travel as text, so they are read as text and converted with
     the rules for zero dates and long durations. A value that does not fit is NULL.
     """
     columns = list(columns)
     wire = T.StructType([T.StructField(c.name, _wire_type(c)) for c in columns])
-    row = F.from_json(_col(data), T.StructType([T.StructField(side, wire)]))[side]
-    return F.when(
-        row.isNotNull(), F.struct(*[_from_wire(row[c.name], c).alias(c.name) for c in columns])
-    )
+    sides = T.StructType([T.StructField("before", wire), T.StructField("after", wire)])
+    parsed = computed_once(df, "_payload", F.from_json(F.col(data), sides))
+
+    def typed(side: str) -> Column:
+        values = [(F.col(f"_payload.{side}.`{c.name}`"), c) for c in columns]
+        present = reduce(or_, [v.isNotNull() for v, _ in values])
+        return F.when(present, F.struct(*[_from_wire(v, c).alias(c.name) for v, c in values]))
+
+    return parsed.withColumns({s: typed(s) for s in ("before", "after")}).drop("_payload")
 
 
 def _wire_type(column: SourceColumn) -> T.DataType:
@@ -159,11 +168,22 @@ def _from_wire(value: Column, column: SourceColumn) -> Column:
 
 
 def with_fields(df: DataFrame, side: str, names: Iterable[str], data: str = "data") -> DataFrame:
-    """Adds one text column per payload field, parsing the payload once."""
+    """Adds the text column `{side}_{name}` per payload field, parsing the payload once."""
     names = list(names)
     wire = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    row = F.from_json(F.col(data), T.StructType([T.StructField(side, wire)]))[side]
-    return df.withColumns({f"{side}_{n}": row[n] for n in names})
+    parsed = F.from_json(F.col(data), T.StructType([T.StructField(side, wire)]))
+    rows = computed_once(df, "_payload", parsed)
+    fields = {f"{side}_{n}": F.col(f"_payload.{side}.`{n}`") for n in names}
+    return rows.withColumns(fields).drop("_payload")
+
+
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a costly column that filters above it do not make Spark compute again.
+
+    A filter is pushed through a projection together with the expressions it refers
+    to, but not through a generator.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
 
 
 def _col(c: Column | str) -> Column:

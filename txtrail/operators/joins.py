@@ -38,9 +38,9 @@ def gtids(df: DataFrame) -> DataFrame:
     return df.select("gtid").distinct()
 
 
-def unmatched_tx(tx: DataFrame, events: DataFrame) -> DataFrame:
+def unmatched_tx(tx: DataFrame, events: DataFrame, hot: list[str] | None = None) -> DataFrame:
     """Transactions none of whose events is known yet."""
-    return join_unique(tx, gtids(events), "left_anti")
+    return join_unique(tx, gtids(events), "left_anti", hot=hot)
 
 
 def orphan_events(events: DataFrame, tx: DataFrame) -> DataFrame:

@@ -44,12 +44,15 @@ def hot_keys(df: DataFrame, key: str = "gtid") -> list[str]:
             F.count("*").alias("_n"),
         )
     )
-    merged = sketches.agg(
+    # grouped by a constant: without any input there is no row instead of a failure
+    merged = sketches.groupBy(F.lit(0).alias("_all")).agg(
         F.expr(f"approx_top_k_combine(_sketch, {_SKETCH_ITEMS})").alias("_sketch"),
         F.sum("_n").alias("n"),
     )
     found = merged.select(F.expr(f"approx_top_k_estimate(_sketch, {top})").alias("top"), "n").first()
-    least = max(HOT_MIN_ROWS, (found.n or 0) * HOT_SHARE)
+    if found is None:
+        return []
+    least = max(HOT_MIN_ROWS, found.n * HOT_SHARE)
     return sorted(item["item"] for item in found.top if item["count"] >= least)
 
 

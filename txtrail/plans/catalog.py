@@ -230,12 +230,8 @@ def context_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def payload_after_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = pl.payload_field("data", "after", "part")
-    return (
-        fx.binlog_event(spark, sf_dir)
-        .select("gtid", "action", part.alias("after_part"))
-        .where(F.col("after_part").isNotNull())
-    )
+    rows = pl.with_fields(fx.binlog_event(spark, sf_dir), "after", ["part"])
+    return rows.select("gtid", "action", "after_part").where(F.col("after_part").isNotNull())
 
 
 @query
@@ -244,11 +240,11 @@ def payload_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
         pl.SourceColumn("part", "BIGINT", nullable=False),
         pl.SourceColumn("line", "INT", unsigned=True),
     ]
-    return fx.binlog_event(spark, sf_dir).select(
+    return pl.with_typed(fx.binlog_event(spark, sf_dir), columns).select(
         "gtid",
-        pl.typed_payload("data", "before", columns)["line"].alias("before_line"),
-        pl.typed_payload("data", "after", columns)["part"].alias("after_part"),
-        pl.typed_payload("data", "after", columns)["line"].alias("after_line"),
+        F.col("before.line").alias("before_line"),
+        F.col("after.part").alias("after_part"),
+        F.col("after.line").alias("after_line"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from txtrail.functions.payload import computed_once
 from txtrail.options import TopicOptions
 from txtrail.schemas import EVENT_ENVELOPE, TX_ENVELOPE
 
@@ -50,12 +51,12 @@ def decode_tx(df: DataFrame, value: str = "value") -> DataFrame:
 def _decode(df: DataFrame, value: str, envelope: T.StructType) -> DataFrame:
     schema = T.StructType([*envelope.fields, T.StructField(CORRUPT, T.StringType())])
     row = F.from_json(
-        F.col(value), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+        F.col("_text"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     )
     # from_json reads the first element of a top-level array; the envelope is an object
     text = F.coalesce(F.col(value), F.lit(""))
-    is_object = F.ltrim(text).startswith("{")
-    parsed = df.select(F.when(is_object, row).alias("_row"), text.alias("_text"))
+    is_object = F.ltrim(F.col("_text")).startswith("{")
+    parsed = computed_once(df.select(text.alias("_text")), "_row", F.when(is_object, row))
     fields = [_zero_filled(f).alias(f.name) for f in envelope.fields]
     corrupt = F.when(F.col("_row").isNull(), F.col("_text")).otherwise(F.col(f"_row.{CORRUPT}"))
     return parsed.select(*fields, corrupt.alias(CORRUPT))

@@ -34,9 +34,10 @@ def quarantine_path(store: str, name: str) -> str:
 
 
 def write_quarantine(decoded: DataFrame, store: str, name: str, batch: str) -> None:
-    """Undecodable messages of one batch; a replay replaces them."""
-    path = f"{quarantine_path(store, name)}/batch={batch}"
-    quarantine(decoded).write.mode("overwrite").text(path)
+    """Undecodable messages of one batch, if any; a replay replaces them."""
+    bad = quarantine(decoded)
+    if not bad.isEmpty():
+        bad.write.mode("overwrite").text(f"{quarantine_path(store, name)}/batch={batch}")
 
 
 def start_ingest(
@@ -55,8 +56,9 @@ def start_ingest(
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            append_events(good_rows(batch), options.store, f"ingest-{batch_id}", options.time_zone)
-            write_quarantine(batch, options.store, "events", f"ingest-{batch_id}")
+            name = f"ingest-{batch_id}"
+            append_events(good_rows(batch), options.store, name, options.time_zone, merge=True)
+            write_quarantine(batch, options.store, "events", name)
         finally:
             batch.unpersist()
 

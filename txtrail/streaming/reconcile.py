@@ -40,14 +40,15 @@ def reconcile_once(
     )
     if pending.isEmpty():
         return False
-    events = candidate_events(spark, options, pending)
+    events = candidate_events(spark, options, pending).persist()
     written = correlate(spark, options, pending.select(*TX_KEY), events, batch, as_of)
+    events.unpersist()
     if handler is not None:
         deliver(handler, written, batch_id)
     done = to_stored_tx(
         written.select(*TX_KEY).distinct(), STATUS_PROCESSED, F.unix_micros(now)
     )
-    append_tx(done, options.store, batch, options.time_zone)
+    append_tx(done, options.store, batch, options.time_zone, merge=True)
     return True
 
 
