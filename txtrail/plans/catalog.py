@@ -638,6 +638,18 @@ def stream_options(spark: SparkSession, sf_dir: str, **more) -> TrailOptions:
 ONCE = {"availableNow": True}
 
 
+@query
+def stream_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw changes of all tables as messages, to the events topic of the included ones."""
+    folder = new_folder(spark, "stream")
+    raw = fx.raw_changes(spark, sf_dir)
+    source = landed(raw.select(F.to_json(F.struct(*raw.columns)).alias("value")), f"{folder}/raw")
+    sink = TopicOptions("text", {"path": f"{folder}/binlog"})
+    options = TrailOptions(f"{folder}/store", f"{folder}/checkpoints", tables=TABLES)
+    ingest.start_publish(spark, options, source, sink, ONCE).awaitTermination()
+    return spark.read.text(f"{folder}/binlog")
+
+
 @query
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = stream_options(spark, sf_dir)

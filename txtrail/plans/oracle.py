@@ -154,6 +154,12 @@ _RAW_EVENT = f"""
            || '}}' AS data
     FROM lineitem"""
 
+_TOPIC_EVENTS = f"""
+    SELECT '{{"db":"' || db || '","table":"' || "table" || '","action":'
+           || CAST(action AS VARCHAR) || ',"gtid":"' || gtid || '","time":'
+           || CAST("time" AS VARCHAR) || ',"data":"' || base64(encode(data)) || '"}}' AS value
+    FROM ({_RAW_EVENT}) WHERE "table" = 'line_open'"""
+
 _DAY = "strftime(o_orderdate, '%Y-%m-%d')"
 
 
@@ -287,11 +293,8 @@ ORACLE = {
     ),
     "new_ids": "SELECT o_orderkey, true AS well_formed, true AS short_ok FROM orders",
     "normalise_events": _RAW_EVENT,
-    "topic_events": f"""
-        SELECT '{{"db":"' || db || '","table":"' || "table" || '","action":'
-               || CAST(action AS VARCHAR) || ',"gtid":"' || gtid || '","time":'
-               || CAST("time" AS VARCHAR) || ',"data":"' || base64(encode(data)) || '"}}' AS value
-        FROM ({_RAW_EVENT}) WHERE "table" = 'line_open'""",
+    "topic_events": _TOPIC_EVENTS,
+    "stream_publish": _TOPIC_EVENTS,
     "topic_transactions": f"""
         SELECT '{{"time":{EPOCH_2024},"context":"' || {CONTEXT} || '","gtid":"{SERVER}:'
                || CAST(o_orderkey AS VARCHAR) || '"}}' AS value

@@ -33,6 +33,20 @@ TX_ENVELOPE = T.StructType(
     ]
 )
 
+# One change as a replication reader hands it over, as a JSON message. The row images
+# are VARIANT, which keeps numbers, text and NULLs apart.
+RAW_CHANGE = T.StructType(
+    [
+        T.StructField("db", T.StringType()),
+        T.StructField("table", T.StringType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("gtid_set", T.StringType()),
+        T.StructField("timestamp", T.LongType()),
+        T.StructField("before", T.VariantType()),
+        T.StructField("after", T.VariantType()),
+    ]
+)
+
 EVENT_FIELDS = ["db", "table", "action", "gtid", "data"]
 
 # Stored events, partitioned by (day, batch).

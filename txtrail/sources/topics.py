@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from txtrail.functions.payload import computed_once
 from txtrail.options import TopicOptions
-from txtrail.schemas import EVENT_ENVELOPE, TX_ENVELOPE
+from txtrail.schemas import EVENT_ENVELOPE, RAW_CHANGE, TX_ENVELOPE
 
 CORRUPT = "_corrupt_record"
 
@@ -48,6 +48,11 @@ def decode_tx(df: DataFrame, value: str = "value") -> DataFrame:
     return _decode(df, value, TX_ENVELOPE)
 
 
+def decode_raw(df: DataFrame, value: str = "value") -> DataFrame:
+    """Raw row changes from JSON messages; row images as VARIANT, NULL when absent."""
+    return _decode(df, value, RAW_CHANGE)
+
+
 def _decode(df: DataFrame, value: str, envelope: T.StructType) -> DataFrame:
     schema = T.StructType([*envelope.fields, T.StructField(CORRUPT, T.StringType())])
     row = F.from_json(
@@ -64,8 +69,8 @@ def _decode(df: DataFrame, value: str, envelope: T.StructType) -> DataFrame:
 
 def _zero_filled(field: T.StructField) -> Column:
     zero = {"string": F.lit(""), "binary": F.lit(b""), "int": F.lit(0), "bigint": F.lit(0)}
-    name = field.dataType.simpleString()
-    return F.coalesce(F.col(f"_row.{field.name}"), zero[name].cast(field.dataType))
+    name, value = field.dataType.simpleString(), F.col(f"_row.{field.name}")
+    return F.coalesce(value, zero[name].cast(field.dataType)) if name in zero else value
 
 
 def good_rows(decoded: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from txtrail.operators.filters import included_tables, row_events
 from txtrail.operators.projections import raw_to_event, to_stored_event
-from txtrail.options import TrailOptions
+from txtrail.options import TopicOptions, TrailOptions
 from txtrail.sources.tables import append_events
 from txtrail.sources.topics import (
     CORRUPT,
     decode_events,
+    decode_raw,
     encode_events,
     good_rows,
     quarantine,
@@ -40,6 +41,29 @@ def write_quarantine(decoded: DataFrame, store: str, name: str, batch: str) -> N
         bad.write.mode("overwrite").text(f"{quarantine_path(store, name)}/batch={batch}")
 
 
+def start_publish(
+    spark: SparkSession,
+    options: TrailOptions,
+    source: TopicOptions,
+    sink: TopicOptions,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Raw changes from `source` to the events topic: row changes of `options.tables` only.
+
+    Undecodable messages are left out, as nothing is known about their table.
+    """
+    raw = good_rows(decode_raw(read_topic(spark, source)))
+    return (
+        topic_values(raw, options.tables)
+        .writeStream.queryName("publish")
+        .format(sink.format)
+        .options(**sink.options)
+        .option("checkpointLocation", f"{options.checkpoints}/publish")
+        .trigger(**(trigger or {"processingTime": f"{options.flush_interval} seconds"}))
+        .start()
+    )
+
+
 def start_ingest(
     spark: SparkSession, options: TrailOptions, trigger: dict | None = None
 ) -> StreamingQuery:
