@@ -64,8 +64,8 @@ EVENT_TABLE = T.StructType(
     ]
 )
 
-# Status versions of transactions, partitioned by (month, batch). `seq` orders
-# the versions of one transaction: the highest wins.
+# Status versions of transactions, partitioned by month. `seq` orders the versions
+# of one transaction: the highest wins.
 TX_TABLE = T.StructType(
     [
         T.StructField("gtid", T.StringType()),
@@ -73,8 +73,8 @@ TX_TABLE = T.StructType(
         T.StructField("time", T.TimestampType()),
         T.StructField("status", T.ShortType()),
         T.StructField("seq", T.LongType()),
-        T.StructField("month", T.StringType()),
         T.StructField("batch", T.StringType()),
+        T.StructField("month", T.StringType()),
     ]
 )
 

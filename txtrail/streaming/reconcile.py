@@ -12,7 +12,6 @@ from txtrail.operators.projections import to_stored_tx
 from txtrail.operators.state import pending_tx
 from txtrail.options import TrailOptions
 from txtrail.schemas import STATUS_PROCESSED
-from txtrail.session import checkpointed
 from txtrail.sources.handlers import Handler, deliver
 from txtrail.sources.tables import append_tx, read_tx_versions
 from txtrail.streaming.online import TX_KEY, candidate_events, correlate
@@ -34,15 +33,15 @@ def reconcile_once(
     now = F.lit(as_of).cast("timestamp")
     batch = f"reconcile-{batch_id}"
     versions = read_tx_versions(spark, options.store)
-    # written out: the version table grows below, the set must not change with it
-    pending = checkpointed(
-        pending_tx(versions, now, options.lookback_hours, options.pending_limit)
-    )
+    # the files of `versions` are fixed by now: what is appended below is not seen
+    pending = pending_tx(versions, now, options.lookback_hours, options.pending_limit).persist()
     if pending.isEmpty():
+        pending.unpersist()
         return False
     events = candidate_events(spark, options, pending).persist()
     written = correlate(spark, options, pending.select(*TX_KEY), events, batch, as_of)
     events.unpersist()
+    pending.unpersist()
     if handler is not None:
         deliver(handler, written, batch_id)
     done = to_stored_tx(
