@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from txtrail.operators.filters import included_tables, row_events
@@ -78,13 +79,14 @@ def start_ingest(
     stored = to_stored_event(decoded, keep=[CORRUPT])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            name = f"ingest-{batch_id}"
-            append_events(good_rows(batch), options.store, name, options.time_zone, merge=True)
+        name = f"ingest-{batch_id}"
+        # bad messages are counted on the way and looked up again only if there are any
+        counted = Observation()
+        bad = F.count_if(F.col(CORRUPT).isNotNull()).alias("bad")
+        rows = good_rows(batch.observe(counted, bad))
+        append_events(rows, options.store, name, options.time_zone, merge=True)
+        if counted.get["bad"]:
             write_quarantine(batch, options.store, "events", name)
-        finally:
-            batch.unpersist()
 
     return (
         stored.writeStream.queryName("ingest")
