@@ -1,3 +1,4 @@
+import base64
 import datetime as dt
 import json
 
@@ -233,9 +234,11 @@ def test_topic_values_are_the_same_for_stream_and_table(spark, tmp_path):
     options = TrailOptions(str(tmp_path / "s"), str(tmp_path / "c"), tables=["d.t"])
     source = TopicOptions("text", {"path": str(tmp_path / "raw")})
     sink = TopicOptions("text", {"path": str(tmp_path / "out")})
+    send(source, spark.createDataFrame([("broken",)], "value string"))
     ingest.start_publish(spark, options, source, sink, ONCE).awaitTermination()
+    ingest.start_raw_quarantine(spark, options, source, ONCE).awaitTermination()
+    kept = spark.read.text(ingest.quarantine_path(options.store, "raw"))
+    assert [r.value for r in kept.collect()] == ["broken"]
     (message,) = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
-    import base64
-
     assert base64.b64decode(message["data"]) == b'{"before":{},"after":{"n":1,"s":"x"}}'
     assert (message["db"], message["table"], message["action"]) == ("d", "t", 0)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from txtrail.functions.gtid import LENIENT, gtid_valid
 from txtrail.functions.predicates import in_args
+from txtrail.operators.joins import MAX_BROADCAST_ROWS
 from txtrail.schemas import ACTION_CODES, EVENT_FIELDS, STATUS_UNPROCESSED
 
 # More (db, table) pairs than this become a join instead of a predicate.
@@ -39,6 +40,8 @@ def included_tables(df: DataFrame, entries: Sequence[str]) -> DataFrame:
         return df.where(_table_predicate(tables))
     pairs = [(db, name) for db, names in tables.items() for name in sorted(names)]
     include = df.sparkSession.createDataFrame(pairs, "db string, `table` string")
+    if len(pairs) <= MAX_BROADCAST_ROWS:
+        include = F.broadcast(include)
     return df.join(include, ["db", "table"], "left_semi")
 
 

@@ -165,7 +165,13 @@ _DAY = "strftime(o_orderdate, '%Y-%m-%d')"
 
 ORACLE = {
     "audit_records": _with(_BOTH, _RECORD),
-    "audit_records_in_parts": _with(_BOTH, _RECORD),
+    "audit_records_in_parts": _with(
+        _BOTH,
+        """SELECT t.gtid, t.context, count(*) AS n_events, count(*) AS n_collected,
+             count(*) FILTER (action = 0) AS n_insert, count(*) FILTER (action = 1) AS n_update,
+             count(*) FILTER (action = 2) AS n_delete
+           FROM tx_info t JOIN binlog_event e ON t.gtid = e.gtid GROUP BY t.gtid, t.context""",
+    ),
     "audit_events_long": _with(
         _BOTH,
         """SELECT t.gtid, t.context, e.db, e."table",

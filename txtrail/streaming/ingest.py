@@ -51,7 +51,7 @@ def start_publish(
 ) -> StreamingQuery:
     """Raw changes from `source` to the events topic: row changes of `options.tables` only.
 
-    Undecodable messages are left out, as nothing is known about their table.
+    Undecodable messages do not get there; `start_raw_quarantine` keeps them.
     """
     raw = good_rows(decode_raw(read_topic(spark, source)))
     return (
@@ -65,6 +65,24 @@ def start_publish(
     )
 
 
+def start_raw_quarantine(
+    spark: SparkSession,
+    options: TrailOptions,
+    source: TopicOptions,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Undecodable raw messages to a folder of their own, whole."""
+    bad = quarantine(decode_raw(read_topic(spark, source)))
+    return (
+        bad.writeStream.queryName("raw_quarantine")
+        .format("text")
+        .option("path", quarantine_path(options.store, "raw"))
+        .option("checkpointLocation", f"{options.checkpoints}/raw_quarantine")
+        .trigger(**(trigger or {"processingTime": f"{options.flush_interval} seconds"}))
+        .start()
+    )
+
+
 def start_ingest(
     spark: SparkSession, options: TrailOptions, trigger: dict | None = None
 ) -> StreamingQuery:
