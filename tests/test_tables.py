@@ -80,7 +80,7 @@ def test_filter_on_month_reaches_the_scan_below_the_latest_versions(spark, tmp_p
         "gtid", F.lit("1..").alias("context"), F.col("event_time").alias("time"),
         F.lit(1).alias("status"), F.lit(1).alias("seq"),
     )
-    tables.append_tx(tx, str(tmp_path), "1", "UTC")
+    tables.append_tx(tx, str(tmp_path), "online", "1", "UTC")
     as_of = F.lit(dt.datetime(2024, 3, 2, tzinfo=UTC)).cast("timestamp")
     pending = state.pending_tx(tables.read_tx_versions(spark, str(tmp_path)), as_of)
     assert pending.count() == 5
@@ -152,7 +152,7 @@ def test_retention(spark, tmp_path):
         tables.append_tx(
             events.select("gtid", F.lit("1..").alias("context"), F.col("event_time").alias("time"),
                           F.lit(1).alias("status"), F.lit(batch).alias("seq")),
-            options.store, str(batch), "UTC",
+            options.store, "online", str(batch), "UTC",
         )
     as_of = dt.datetime(2024, 3, 1, 18, tzinfo=UTC)
     kept = jobs.within_retention(

@@ -296,7 +296,8 @@ def uuid_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(
         "o_orderkey", "code", ids.short_id(F.col("code")).alias("short"),
         ids.decode_uuid("code").alias("uuid"),
-        ids.decode_uuid(F.concat(F.lit("0"), F.substring("code", 2, 21))).alias("bad"),
+        ids.decode_uuid(F.concat(F.lit("0"), F.substring("code", 2, 21))).isNull()
+        .alias("bad_rejected"),
     )
 
 
@@ -558,7 +559,10 @@ def bulk_text_load(spark: SparkSession, sf_dir: str) -> DataFrame:
             T.StructField("p_size", T.IntegerType()),
         ]
     )
-    return bulk_text.read_bulk_text(spark, folder, schema)
+    loaded = bulk_text.read_bulk_text(spark, folder, schema)
+    return loaded.select(
+        "p_partkey", "text", "p_size", F.col(bulk_text.BAD_LINE).isNull().alias("fits")
+    )
 
 
 # --- stored tables and delivery ----------------------------------------------------------

@@ -289,7 +289,7 @@ ORACLE = {
         FROM lineitem""",
     "uuid_codec": _with(
         ["order_code"],
-        """SELECT o_orderkey, code, substr(code, 1, 8) AS short, uuid, CAST(NULL AS VARCHAR) AS bad
+        """SELECT o_orderkey, code, substr(code, 1, 8) AS short, uuid, true AS bad_rejected
            FROM order_code""",
     ),
     "short_id_collisions": _with(
@@ -416,7 +416,7 @@ ORACLE = {
     "bulk_text_load": """
         SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a' || chr(9) || 'b\\' || p_name
                  WHEN 1 THEN p_name || chr(10) || '\\t' WHEN 2 THEN p_name END AS "text",
-               p_size, CAST(NULL AS VARCHAR) AS _bad_line
+               p_size, true AS fits
         FROM part""",
     "stored_events": _with(
         _EV,

@@ -64,8 +64,8 @@ EVENT_TABLE = T.StructType(
     ]
 )
 
-# Status versions of transactions, partitioned by month. `seq` orders the versions
-# of one transaction: the highest wins.
+# Status versions of transactions, partitioned by (writer, month). `seq` orders the
+# versions of one transaction: the highest wins.
 TX_TABLE = T.StructType(
     [
         T.StructField("gtid", T.StringType()),
@@ -74,6 +74,7 @@ TX_TABLE = T.StructType(
         T.StructField("status", T.ShortType()),
         T.StructField("seq", T.LongType()),
         T.StructField("batch", T.StringType()),
+        T.StructField("writer", T.StringType()),
         T.StructField("month", T.StringType()),
     ]
 )

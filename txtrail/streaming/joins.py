@@ -29,7 +29,7 @@ def correlate_streams(
 
 
 def quiescent_groups(
-    events: DataFrame, quiet: str = "300 milliseconds", lateness: str = "10 seconds"
+    events: DataFrame, quiet: str = "3 seconds", lateness: str = "10 seconds"
 ) -> DataFrame:
     """(gtid, first_time, last_time, n_events) of event groups followed by a quiet period.
 

@@ -47,7 +47,7 @@ def reconcile_once(
     done = to_stored_tx(
         written.select(*TX_KEY).distinct(), STATUS_PROCESSED, F.unix_micros(now)
     )
-    append_tx(done, options.store, batch, options.time_zone, merge=True)
+    append_tx(done, options.store, "reconcile", batch, options.time_zone, merge=True)
     return True
 
 
