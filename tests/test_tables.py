@@ -144,6 +144,28 @@ def test_bucketed_tables_are_joined_without_a_shuffle(spark, tmp_path):
         spark.sql("DROP TABLE IF EXISTS bucketed_tx")
 
 
+def test_merged_versions_resolve_to_the_same(spark, tmp_path):
+    store = str(tmp_path / "with space")
+    for seq, status in ((1, 1), (2, 2), (2, 2), (3, 1)):
+        versions = stored(spark, 30 if seq < 3 else 5).select(
+            "gtid", F.lit("1..").alias("context"), F.col("event_time").alias("time"),
+            F.lit(status).alias("status"), F.lit(seq).alias("seq"),
+        )
+        tables.append_tx(versions, store, f"w{status}", str(seq), "UTC")
+    columns = ["gtid", "context", "time", "status", "seq", "month"]
+
+    def resolved():
+        latest = state.latest_versions(tables.read_tx_versions(spark, store))
+        return sorted(map(tuple, latest.select(columns).collect()))
+
+    before = resolved()
+    for _ in range(2):
+        jobs.merge_versions(spark, store)
+        assert resolved() == before and len(before) == 30
+        assert tables.read_tx_versions(spark, store).count() == 30
+    assert {r.writer for r in tables.read_tx_versions(spark, store).select("writer").collect()} == {"merged"}
+
+
 def test_retention(spark, tmp_path):
     options = TrailOptions(str(tmp_path), str(tmp_path / "ck"), time_zone="UTC")
     for batch, at in enumerate(["2024-01-01 00:00:00 UTC", "2024-01-31 12:00:00 UTC", "2024-03-01 00:00:00 UTC"]):
