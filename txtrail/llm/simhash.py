@@ -128,12 +128,12 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 SEGMENT_PAIRS = ((0, 1), (0, 2), (1, 2))
 
 
-def syndrome_table() -> np.ndarray:
-    """Remainder of each 23-bit word by the generator."""
-    table = np.arange(1 << 23, dtype=np.uint32)
+def high_syndromes() -> np.ndarray:
+    """Remainder by the generator of the words whose lowest 11 bits are zero."""
+    table = np.arange(1 << 12, dtype=np.uint32) << np.uint32(11)
     for bit in range(22, 10, -1):
         table ^= ((table >> np.uint32(bit)) & np.uint32(1)) * np.uint32(GENERATOR << (bit - 11))
-    return table.astype(np.uint16)
+    return table
 
 
 class Golay:
@@ -142,13 +142,13 @@ class Golay:
     _only: Golay | None = None
 
     def __init__(self) -> None:
-        self.syndromes = syndrome_table()
+        self.high = high_syndromes()
         self.leader = np.zeros(2048, np.uint32)
         others: dict[int, list[int]] = {}
         for weight in range(5):
             for bits in itertools.combinations(range(23), weight):
                 error = sum(1 << b for b in bits)
-                syndrome = int(self.syndromes[error])
+                syndrome = int(self.syndromes(np.uint32(error)))
                 if weight < 4:
                     self.leader[syndrome] = error
                 else:
@@ -164,13 +164,16 @@ class Golay:
         cls._only = cls._only or cls()
         return cls._only
 
+    def syndromes(self, words: np.ndarray) -> np.ndarray:
+        return self.high[words >> np.uint32(11)] ^ (words & np.uint32(0x7FF))
+
     def nearest(self, words: np.ndarray) -> np.ndarray:
         """Index of the codeword within 3 bits."""
-        return (words ^ self.leader[self.syndromes[words]]) >> np.uint32(11)
+        return (words ^ self.leader[self.syndromes(words)]) >> np.uint32(11)
 
     def near(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the codewords within 4 bits, and which of the six columns count."""
-        syndromes = self.syndromes[words]
+        syndromes = self.syndromes(words)
         return (words[:, None] ^ self.errors[syndromes]) >> np.uint32(11), (
             np.arange(6) < self.n_errors[syndromes][:, None]
         )
