@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from txtrail.llm import bpe, recipes, simhash
-from txtrail.llm.common import table
+from txtrail.llm import bpe, langid, maxscore, packing, quality, recipes, repeats, simhash, toxicity, urlrules
+from txtrail.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,14 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 TOKENIZER = "byte_bpe_50k.json"
+LANGUAGE_PIECES = "byte_bpe_multi_50k.tiktoken"
+
+URL_RULES = [
+    urlrules.Listed("net", "/", urlrules.BLOCK),
+    urlrules.Listed("example.net", "/en/", urlrules.ALLOW),
+    urlrules.Listed("example.com", "/de/", urlrules.BLOCK),
+    urlrules.Listed("org", "/fr/", urlrules.ALLOW),
+]
 
 
 def query(fn: Query) -> Query:
@@ -29,6 +38,23 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def judged(scores: DataFrame, threshold: float) -> DataFrame:
+    predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
+    return scores.select("doc_id", held_out().alias("held_out"), "score", predicted)
+
+
+@query
+def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = table(spark, sf_dir, "labels").where(~held_out())
+    return judged(quality.scored(table(spark, sf_dir, "documents"), learn, "quality"), quality.THRESHOLD)
+
+
+@query
+def op3_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = table(spark, sf_dir, "labels").where(~held_out())
+    return judged(toxicity.scored(table(spark, sf_dir, "documents"), learn, "toxic"), toxicity.THRESHOLD)
+
+
 @query
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipes.exact_duplicates(table(spark, sf_dir, "documents"))
@@ -44,6 +70,54 @@ FROM (
 """
 
 
+@query
+def op5_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+ORACLE["op5_maxscore_search"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    FROM embeddings
+    WHERE len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+           CAST(list_sum(list_transform(generate_series(1, len(q.e)), i -> q.e[i] * c.e[i])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id
+    WHERE q.vec_id % 20 = 0
+), r AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+           vec_id, score
+    FROM s
+)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+
+@query
+def op6_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op7_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 @query
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query
+def op9_language_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learnt(docs, public_tokenizers.path(LANGUAGE_PIECES), ~held_out())
+    return langid.predicted(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    digest = F.sha2("kept", 256).alias("kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", digest)
