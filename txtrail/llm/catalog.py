@@ -77,12 +77,12 @@ def op5_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op5_maxscore_search"] = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) for x in embedding] AS e
     FROM embeddings
-    WHERE len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    WHERE len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
     SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-           CAST(list_sum(list_transform(generate_series(1, len(q.e)), i -> q.e[i] * c.e[i])) AS BIGINT) AS score
+           CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
     FROM v q JOIN v c ON q.vec_id <> c.vec_id
     WHERE q.vec_id % 20 = 0
 ), r AS (

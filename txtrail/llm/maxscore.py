@@ -139,10 +139,10 @@ def search(
     dim = found["size"]
     shards = blocks(same.select("vec_id", "v"), shard, n_shards, "shard")
     asked = blocks(same.where("q").select("vec_id", "v").distinct(), query_block, n_blocks, "block")
-    left = asked.select("block", "ids", "packed", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).cast("bigint").alias("shard"))
+    left = asked.select("block", "ids", "packed", F.explode(F.expr(f"sequence(0L, {n_shards - 1}L)")).alias("shard"))
     right = shards.select(
         "shard", F.col("ids").alias("s_ids"), F.col("packed").alias("s_packed"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("bigint").alias("block"),
+        F.explode(F.expr(f"sequence(0L, {n_blocks - 1}L)")).alias("block"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -172,12 +172,10 @@ def exact_duplicates(docs: DataFrame, id_bytes: int = 16) -> DataFrame:
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with the columns of docs; one of rows that repeat a doc_id."""
-    found = exact_duplicates(docs).where("kept")
-    named = docs.where(F.col("doc_id").isNotNull()).join(
-        found.where(F.col("doc_id").isNotNull()).select("doc_id", "text_sha256").distinct().select("doc_id"), "doc_id", "left_semi"
-    )
-    unnamed = docs.where(F.col("doc_id").isNull())
-    return named.select(*docs.columns).dropDuplicates(["doc_id"]).unionByName(
-        unnamed.dropDuplicates(["text"]).select(*docs.columns)
-    )
+    """The rows that stay, with the columns of docs, one of rows that repeat a document."""
+    columns = docs.columns
+    digest = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ").cast("binary"), 256)
+    keyed = docs.select(F.col("doc_id").alias("k_id"), digest.alias("k_text"), F.struct(*columns).alias("row"))
+    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_text")).distinct()
+    same = keyed["k_id"].eqNullSafe(kept["k_id"]) & (keyed["k_text"] == kept["k_text"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["k_id", "k_text"]).select("row.*")

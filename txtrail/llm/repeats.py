@@ -355,9 +355,10 @@ def _order(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("bigint"), F.lit(LAST))
 
 
-def identified(docs: DataFrame) -> DataFrame:
+def identified(docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
     """(doc_id, doc, t, text): order of the document and number of its text."""
     return docs.select(
+        *([F.struct(*rest).alias("rest")] if rest else []),
         "doc_id", _order(F.col("doc_id")).alias("doc"), F.xxhash64(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("t"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
@@ -396,9 +397,10 @@ def repeat_groups(
     return firsts, usual.union(window_repeats(contexts(marked.where("n_h is not null")), least))
 
 
-def without_repeats(docs: DataFrame, least: int = LEAST, **options: int) -> DataFrame:
+def without_repeats(docs: DataFrame, least: int = LEAST, rest: list[str] | None = None, **options: int) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): each whole text without the bytes of
-    strings of `least` bytes that also start earlier, in UTF-8; kept is binary.
+    strings of `least` bytes that also start earlier, in UTF-8; kept is binary. With `rest`,
+    a struct column of that name holds these columns of the row.
 
     Null texts count as empty. A later copy of a whole text loses everything, unless it is
     shorter than `least`. Rows that repeat a doc_id with the same text are one document and
@@ -413,9 +415,14 @@ def without_repeats(docs: DataFrame, least: int = LEAST, **options: int) -> Data
         .agg(F.collect_set(F.struct("start", "length")).alias("spans"))
     )
     known = firsts.select("t", "doc").join(gone, ["t", "doc"], "left").select("t", "doc", "spans", F.lit(True).alias("first"))
-    joined = identified(docs).join(known, ["t", "doc"], "left").select("doc_id", "text", "spans", "first")
+    joined = identified(docs, rest).join(known, ["t", "doc"], "left").select("doc_id", "text", "spans", "first", *(["rest"] if rest else []))
     schema = T.StructType(
-        [docs.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept", T.BinaryType())]
+        [
+            docs.schema["doc_id"],
+            *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")],
+            T.StructField("kept", T.BinaryType()),
+            *([joined.schema["rest"]] if rest else []),
+        ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,7 +436,8 @@ def without_repeats(docs: DataFrame, least: int = LEAST, **options: int) -> Data
                 rows.append(cut(data, taken))
             columns = list(zip(*rows)) if rows else [[]] * 4
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), k) for c, k in zip(columns, kinds)]], schema.names)
+            made = [pa.array(list(c), k) for c, k in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[4:]], schema.names)
 
     return joined.mapInArrow(run, schema)
 

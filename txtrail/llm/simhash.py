@@ -328,3 +328,89 @@ def near_components(
     return join_groups(rows, checkpointed(named), "fp", "n").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp"
     )
+
+
+# --- near duplicates of a similarity ---------------------------------------------
+
+SIMILARITY = 0.8
+WIDE = 4  # 64-bit words of the fingerprint that decides
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, u, s): 64 bits over the distinct words of each whole text, and 256 bits over
+    its shingles."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType(
+        [docs.schema["doc_id"], T.StructField("u", T.LongType()), *[T.StructField(f"s{i}", T.LongType()) for i in range(WIDE)]]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            rows = []
+            for text in batch.column(1):
+                of_words, of_shingles = Fingerprint(), Fingerprint(WIDE)
+                data = text.as_buffer().to_pybytes().translate(LOWER) if text.is_valid else b""
+                digests = [xxhash.xxh64_intdigest(w, SEED) for w in {w for run_ in word_runs(data) for w in run_}]
+                of_words.add(np.array(digests, np.uint64))
+                for hashes in shingle_hashes(data, shingle):
+                    of_shingles.add(hashes)
+                rows.append([of_words.value()[0], *of_shingles.value()])
+            columns = np.array(rows, np.int64).reshape(-1, 1 + WIDE).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(c)) for c in columns]], schema.names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def wide_distance(a: str, b: str) -> Column:
+    out = F.lit(0)
+    for i in range(WIDE):
+        out = out + distance(f"{a}.s{i}", f"{b}.s{i}")
+    return out
+
+
+def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) of each document with a doc_id.
+
+    Two documents are linked when the cosine similarity of their shingle counts, as their
+    256-bit fingerprints estimate it, is at least `similarity`: 52 bits or fewer differ at
+    0.8. Such fingerprints are too far apart for keys, so documents meet by a second
+    fingerprint over distinct words, which one changed word moves much less: its segments
+    are decoded to all codewords within 4 bits, and documents meet where two segments
+    differ in up to two bits each.
+
+    Links to the smallest document of a key come first; from then on only pairs of different
+    components are compared, so dense groups do not emit their pairs.
+    """
+    most = int(256 * np.arccos(similarity) / np.pi)
+    rows = checkpointed(wide_fingerprints(docs.where(F.col("doc_id").isNotNull()), shingle))
+    bits = ["u", *[f"s{i}" for i in range(WIDE)]]
+    groups = checkpointed(rows.groupBy(*bits).agg(F.min("doc_id").alias("v"), F.count("*").alias("n")))
+
+    near = checkpointed(keyed(groups.drop("n"), "nearest", "u"))
+    least = near.groupBy("key").agg(F.min(F.struct("v", *bits[1:])).alias("low"), F.count("*").alias("n_key"))
+    stars = join_groups(near, checkpointed(least.where("n_key > 1")), "key", "n_key").where("low.v < v").alias("b")
+    close = sum((F.bit_count(F.col(f"b.s{i}").bitwiseXOR(F.col(f"b.low.s{i}"))) for i in range(WIDE)), F.lit(0)) <= most
+    first = checkpointed(stars.where(close).select(F.col("b.low.v").alias("a"), F.col("b.v").alias("b")).distinct())
+
+    roots = components(first)
+    marked = groups.join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("c"), *bits)
+    every = keyed(checkpointed(marked), "both", "u").drop("u")
+    x, y = every.alias("x"), every.alias("y")
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.v") < F.col("y.v")) & (F.col("x.c") != F.col("y.c"))
+    second = x.join(y, met & (wide_distance("x", "y") <= most)).select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
+    joined = components(first.union(second))
+    named = groups.join(joined, "v", "left").select(F.struct(*bits).alias("bits"), "n", F.coalesce("root", "v").alias("component_id"))
+    keyed_rows = rows.select("doc_id", F.struct(*bits).alias("bits"))
+    return join_groups(keyed_rows, checkpointed(named), "bits", "n").select("doc_id", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs without those that have a smaller doc_id in their component.
+
+    Rows without a doc_id cannot be told apart and stay, as do rows that repeat a doc_id
+    that stays.
+    """
+    found = similar_components(docs, shingle, similarity)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
