@@ -30,6 +30,12 @@ from txtrail.session import checkpointed
 K = 20
 QUERY_BLOCK = 1024
 SHARD = 8192
+# Queries of a block that are looked at together, vectors that give the first score to
+# beat, and terms probed between two looks at what still competes.
+TOGETHER = 128
+SEEDS = 512
+PROBE_STEP = 4
+LOWEST = -(1 << 52)
 
 
 def integral(vector: Column, scale: int = 64) -> Column:
@@ -40,62 +46,68 @@ def integral(vector: Column, scale: int = 64) -> Column:
 
 
 class Shard:
-    """Posting lists of the vectors of one shard."""
+    """Posting lists of the vectors of one shard.
+
+    Lists are kept as bits over the shard's vectors beside a dense array of impacts, since
+    most vectors are in about half of all lists.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")  # equal scores: smaller id first
-        self.ids, self.vectors = ids[order], vectors[order]
-        self.columns = np.ascontiguousarray(self.vectors.T)
-        self.lists = {}
-        for d, column in enumerate(self.columns):
-            for sign in (1, -1):
-                docs = np.nonzero(column * sign > 0)[0]
-                if len(docs):
-                    self.lists[d, sign] = docs, int((column * sign).max())
-
-    def best(self, query: np.ndarray, own: int | None, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, scores) of the k best, without the query's own id."""
-        terms = sorted(
-            (abs(int(q)) * self.lists[d, s][1], d, s)
-            for d, q in enumerate(query.tolist())
-            if q and (d, s := 1 if q > 0 else -1) in self.lists
-        )
-        mine = np.zeros(len(self.ids), bool) if own is None else self.ids == own
-        # the score to beat: the k-th best of the vectors with the largest impacts of the strongest terms
-        seeds = np.unique(np.concatenate([self.lists[d, s][0][:k] for _, d, s in terms[-2:]] or [np.arange(0)]))
-        seeds = seeds[~mine[seeds]]
-        threshold = None
-        if len(seeds) >= k:
-            threshold = int(np.partition(self.vectors[seeds] @ query, len(seeds) - k)[len(seeds) - k])
-        bounds = np.cumsum([b for b, _, _ in terms])
-        # a vector outside all essential lists scores at most the sum of the other bounds
-        n_free = 0 if threshold is None or threshold <= 0 else int(np.searchsorted(bounds, threshold, side="left"))
-        if threshold is None or threshold <= 0 or not terms:
-            docs = np.nonzero(~mine)[0]  # everything competes: no list may be left out
-        else:
-            touched = np.zeros(len(self.ids), bool)
-            for _, d, s in terms[n_free:]:
-                touched[self.lists[d, s][0]] = True
-            docs = np.nonzero(touched & ~mine)[0]
-        # scores over the essential dimensions, both signs; those never gain elsewhere than in free terms
-        free = [d for _, d, _ in terms[:n_free]]
-        used = np.ones(len(query), bool)
-        used[free] = False
-        scores = self.vectors[docs][:, used] @ query[used]
-        for at in range(n_free - 1, -1, -1):
+        self.ids = ids[order]
+        largest = int(np.abs(vectors).max()) if vectors.size else 0
+        # exact in floating point as long as no sum can pass 2^53
+        self.kind = np.float64 if largest**2 * vectors.shape[1] < 1 << 53 else np.int64
+        self.impacts = np.ascontiguousarray(vectors[order].T).astype(self.kind)
+        self.lists = [np.packbits(self.impacts > 0, axis=1), np.packbits(self.impacts < 0, axis=1)]
+        self.most = [self.impacts.max(axis=1).clip(0), (-self.impacts).max(axis=1).clip(0)]
+
+    def best(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(positions, scores) of the k best for each query, without its own id."""
+        queries = queries.astype(self.kind)
+        positive = queries > 0
+        gains = np.abs(queries) * np.where(positive, *self.most)
+        losses = np.abs(queries) * np.where(positive, *self.most[::-1])
+        order = np.argsort(gains, axis=1, kind="stable")
+        bounds = np.cumsum(np.take_along_axis(gains, order, axis=1), axis=1)
+        # the score to beat at first: the k-th best among the first vectors of the shard
+        seeds = queries @ self.impacts[:, : SEEDS]
+        seeds[self.ids[None, :SEEDS] == own[:, None]] = LOWEST
+        seeds = np.sort(seeds, axis=1)[:, ::-1]
+        beat = seeds[:, k - 1] if seeds.shape[1] >= k else np.full(len(queries), LOWEST)
+        # non-essential: the run of smallest bounds whose sum stays below it
+        n_free = np.where(beat > 0, (bounds < beat[:, None]).sum(axis=1), 0)
+        essential = queries.copy()
+        for i, n in enumerate(n_free.tolist()):
+            essential[i, order[i, :n]] = 0
+        partial = essential @ self.impacts  # essential postings, and what the same dimensions subtract
+        for i, n in enumerate(n_free.tolist()):
+            docs = self._touched(essential[i]) if n else np.arange(len(self.ids))
+            yield self._probe(docs[self.ids[docs] != own[i]], partial[i], queries[i], order[i, :n][::-1], bounds[i], losses[i], beat[i], k)
+
+    def _touched(self, essential: np.ndarray) -> np.ndarray:
+        """Vectors in the list of an essential term; a vector in none cannot reach the score."""
+        up = np.bitwise_or.reduce(self.lists[0][essential > 0], axis=0)
+        down = np.bitwise_or.reduce(self.lists[1][essential < 0], axis=0)
+        return np.nonzero(np.unpackbits(up | down, count=len(self.ids)))[0]
+
+    def _probe(self, docs, partial, query, free, bounds, losses, beat, k):  # noqa: ANN001, ANN202
+        """Adds the other terms by falling bound for the vectors that still compete."""
+        scores = partial[docs]
+        for at in range(0, len(free), PROBE_STEP):
+            left = free[at:]
             if len(docs) > k:
-                threshold = max(threshold, self._floor(scores, free[: at + 1], query, k))
-                competitive = scores + bounds[at] >= threshold
-                docs, scores = docs[competitive], scores[competitive]
-            d = free[at]
-            scores = scores + self.columns[d][docs] * query[d]
+                reached = np.partition(scores, len(scores) - k)[len(scores) - k] - losses[left].sum()
+                beat = max(beat, reached)
+            competitive = scores + bounds[len(left) - 1] >= beat
+            docs, scores = docs[competitive], scores[competitive]
+            step = left[:PROBE_STEP]
+            scores = scores + query[step] @ self.impacts[np.ix_(step, docs)]
+        if len(docs) > 4 * k:
+            last = np.partition(scores, len(scores) - k)[len(scores) - k]
+            docs, scores = docs[scores >= last], scores[scores >= last]
         order = np.lexsort((docs, -scores))[:k]
-        return docs[order], scores[order]
-
-    def _floor(self, scores: np.ndarray, left: list[int], query: np.ndarray, k: int) -> int:
-        """A score that k vectors reach at least, whatever the dimensions left hold."""
-        worst = sum(abs(int(query[d])) * self.lists[d, -1 if query[d] > 0 else 1][1] for d in left if (d, -1 if query[d] > 0 else 1) in self.lists)
-        return int(np.partition(scores, len(scores) - k)[len(scores) - k]) - worst
+        return docs[order], scores[order].astype(np.int64)
 
 
 def blocks(vectors: DataFrame, size: int, n: int, name: str) -> DataFrame:
@@ -150,12 +162,14 @@ def search(
             for row in batch.to_pylist():
                 lists = Shard(np.frombuffer(row["s_ids"], "<i8"), np.frombuffer(row["s_packed"], "<i4").reshape(-1, dim).astype(np.int64))
                 ids = np.frombuffer(row["ids"], "<i8")
+                queries_ = np.frombuffer(row["packed"], "<i4").reshape(-1, dim).astype(np.int64)
                 asked_, best_, scores_ = [], [], []
-                for own, query in zip(ids.tolist(), np.frombuffer(row["packed"], "<i4").reshape(-1, dim).astype(np.int64)):
-                    docs, scores = lists.best(query, own, k)
-                    asked_.append(np.full(len(docs), own))
-                    best_.append(lists.ids[docs])
-                    scores_.append(scores)
+                for at in range(0, len(ids), TOGETHER):
+                    own = ids[at : at + TOGETHER]
+                    for one, (docs, scores) in zip(own.tolist(), lists.best(queries_[at : at + TOGETHER], own, k)):
+                        asked_.append(np.full(len(docs), one))
+                        best_.append(lists.ids[docs])
+                        scores_.append(scores)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(x).astype(np.int64)) for x in (asked_, best_, scores_)], ["query_id", "vec_id", "score"]
                 )
