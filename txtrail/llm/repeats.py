@@ -30,20 +30,25 @@ from txtrail.llm.common import join_groups, partitions_for, sliced
 from txtrail.session import checkpointed
 
 LEAST = 100
-GRAM = 40
+GRAM = 24
 # Text per bucket of anchors, and anchors per bucket of the suffix array.
 BUCKET_BYTES = 8 << 20
-BUCKET_ANCHORS = 50_000
+BUCKET_ANCHORS = 25_000
 # Anchors a task holds before it deals them out.
-HELD = 1 << 20
+HELD = 1 << 19
 # A hash with more anchors is compared window by window over all tasks.
 HOT_ANCHORS = 20_000
+# Tasks that the occurrences of one frequent window are dealt to.
+SALTS = 16
 LAST = (1 << 63) - 1  # orders documents without an id behind all others
 
 BASE = 0x9E3779B97F4A7C15
-STRETCH = 1 << 20
+STRETCH = 1 << 18
+MIX = 0x9E3779B97F4A7C15  # deals the two parts of an anchor's hash out evenly
 
-ANCHOR = np.dtype([("h", "<i8"), ("t", "<i8"), ("pos", "<i4"), ("lo", "u1"), ("hi", "u1"), ("known", "?")])
+# 32 bits of the hash, which tell anchors of one bucket apart; a false match only costs time
+ANCHOR = np.dtype([("h", "<u4"), ("t", "<i8"), ("pos", "<i4"), ("lo", "u1"), ("hi", "u1")])
+KNOWN = 0x80  # on hi: the task saw the hash twice
 
 
 # --- anchors ---------------------------------------------------------------------
@@ -92,33 +97,37 @@ class Anchors:
             runs = np.nonzero(np.concatenate([[True], at[1:] != at[:-1]]))[0]
             last = np.concatenate([runs[1:], [len(at)]]) - 1
             place = at[runs]
-            yield h[place].view(np.int64), place + start, place - last, place - runs
+            yield h[place], place + start, place - last, place - runs
 
 
 def anchor_rows(texts: DataFrame, least: int, gram: int, buckets: int, held: int) -> DataFrame:
-    """(bucket, anchors): packed anchors, dealt by hash.
+    """(bucket, anchors, owners): packed anchors, dealt by hash.
 
     A hash that a task sees twice is known to repeat. All its anchors but one are then
-    passed on by any bucket, so a frequent hash sends each bucket one anchor a task.
+    passed on by any bucket, with their own bucket in `owners`, so a frequent hash sends
+    its bucket one anchor a task.
     """
 
-    def dealt(anchors: np.ndarray, salt: int) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((anchors["pos"], anchors["t"], anchors["h"]))
-        anchors = anchors[order]
-        fresh = np.concatenate([[True], anchors["h"][1:] != anchors["h"][:-1]])
+    def dealt(hashes: np.ndarray, anchors: np.ndarray, salt: int) -> pa.RecordBatch:
+        order = np.lexsort((anchors["pos"], anchors["t"], hashes))
+        hashes, anchors = hashes[order], anchors[order]
+        fresh = np.concatenate([[True], hashes[1:] != hashes[:-1]])
         sizes = np.diff(np.concatenate([np.nonzero(fresh)[0], [len(anchors)]]))
-        anchors["known"] = np.repeat(sizes > 1, sizes)
-        dealt_to = np.where(fresh, (anchors["h"].view(np.uint64) >> np.uint64(20)) % np.uint64(buckets), buckets + salt)
+        anchors["hi"] |= np.repeat(np.where(sizes > 1, KNOWN, 0), sizes).astype(np.uint8)
+        owner = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        dealt_to = np.where(fresh, owner, buckets + salt)
         order = np.argsort(dealt_to, kind="stable")
-        anchors, dealt_to = anchors[order], dealt_to[order]
+        anchors, owner, dealt_to = anchors[order], owner[order], dealt_to[order]
         cuts = np.nonzero(np.concatenate([[True], dealt_to[1:] != dealt_to[:-1]]))[0]
         packed = [p.tobytes() for p in np.split(anchors, cuts[1:])]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(dealt_to[cuts].astype(np.int64)), pa.array(packed, pa.binary())], ["bucket", "anchors"]
+        owners = [p.tobytes() if d >= buckets else b"" for p, d in zip(np.split(owner, cuts[1:]), dealt_to[cuts].tolist())]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(dealt_to[cuts]), pa.array(packed, pa.binary()), pa.array(owners, pa.binary())], ["bucket", "anchors", "owners"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Anchors(least, gram)
+        hashes: list[np.ndarray] = []
         found: list[np.ndarray] = []
         seen: set[int] = set()
         n = salt = 0
@@ -129,36 +138,49 @@ def anchor_rows(texts: DataFrame, least: int, gram: int, buckets: int, held: int
                 seen.add(t)
                 for h, place, low, high in finder.of(np.frombuffer(text.as_buffer(), np.uint8)):
                     rows = np.empty(len(h), ANCHOR)
-                    rows["h"], rows["t"], rows["pos"], rows["lo"], rows["hi"] = h, t, place, low, high
+                    rows["h"], rows["t"], rows["pos"], rows["lo"], rows["hi"] = h & np.uint64(0xFFFFFFFF), t, place, low, high
+                    hashes.append(h)
                     found.append(rows)
                     n += len(h)
             if n >= held:
-                yield from dealt(np.concatenate(found), salt % buckets)
-                found, n, salt = [], 0, salt + 1
+                yield dealt(np.concatenate(hashes), np.concatenate(found), salt % buckets)
+                hashes, found, n, salt = [], [], 0, salt + 1
                 seen = seen if len(seen) < 1_000_000 else set()
         if n:
-            yield from dealt(np.concatenate(found), salt % buckets)
+            yield dealt(np.concatenate(hashes), np.concatenate(found), salt % buckets)
 
-    return texts.select("t", "text").mapInArrow(run, "bucket bigint, anchors binary")
+    return texts.select("t", "text").mapInArrow(run, "bucket bigint, anchors binary, owners binary")
 
 
 def repeated_anchors(texts: DataFrame, least: int, gram: int, buckets: int, held: int) -> DataFrame:
-    """(h, t, pos, lo, hi): anchors whose hash has another anchor."""
+    """(h, t, pos, lo, hi): anchors whose hash has another anchor; h is bucket and hash."""
 
     def run(group: pa.Table) -> pa.Table:
+        bucket = group["bucket"][0].as_py()
         anchors = np.concatenate([np.frombuffer(b.as_buffer(), ANCHOR) for c in group["anchors"].chunks for b in c])
-        if group["bucket"][0].as_py() < buckets:
+        if bucket < buckets:
             anchors = anchors[np.lexsort((anchors["pos"], anchors["t"], anchors["h"]))]
+            owner = np.full(len(anchors), bucket, np.int64)
             same = anchors["h"][1:] == anchors["h"][:-1]
             copy = same & (anchors["t"][1:] == anchors["t"][:-1]) & (anchors["pos"][1:] == anchors["pos"][:-1])
-            known = anchors["known"]
+            known = anchors["hi"] >= KNOWN
             starts = np.nonzero(np.concatenate([[True], ~same]))[0]
             sizes = np.diff(np.concatenate([starts, [len(anchors)]]))
             distinct = np.add.reduceat(np.concatenate([[True], ~copy]).astype(int), starts)
             repeated = (distinct > 1) | np.logical_or.reduceat(known, starts)
-            anchors = anchors[np.repeat(repeated, sizes) & np.concatenate([[True], ~copy])]
-        return pa.table({n: pa.array(np.ascontiguousarray(anchors[n]).astype(kind)) for n, kind in
-                         (("h", "i8"), ("t", "i8"), ("pos", "i4"), ("lo", "i4"), ("hi", "i4"))})
+            chosen = np.repeat(repeated, sizes) & np.concatenate([[True], ~copy])
+            anchors, owner = anchors[chosen], owner[chosen]
+        else:
+            owner = np.concatenate([np.frombuffer(b.as_buffer(), "<i8") for c in group["owners"].chunks for b in c])
+        return pa.table(
+            {
+                "h": pa.array(owner << 32 | anchors["h"].astype(np.int64)),
+                "t": pa.array(np.ascontiguousarray(anchors["t"])),
+                "pos": pa.array(np.ascontiguousarray(anchors["pos"])),
+                "lo": pa.array(anchors["lo"].astype(np.int32)),
+                "hi": pa.array((anchors["hi"] & np.uint8(KNOWN - 1)).astype(np.int32)),
+            }
+        )
 
     rows = anchor_rows(texts, least, gram, buckets, held)
     return rows.groupBy("bucket").applyInArrow(run, "h bigint, t bigint, pos int, lo int, hi int")
@@ -243,26 +265,38 @@ def maximal_repeats(
                 yield prefixes[places[c : d + 1]], extent, depth
 
 
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, and where each begins."""
+    large = pa.types.is_large_string(column.type)
+    _, offsets, data = column.buffers()
+    begins = np.frombuffer(offsets, np.int64 if large else np.int32)[column.offset : column.offset + len(column)]
+    return np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8), begins.astype(np.int64)
+
+
 def packed_contexts(joined: DataFrame, least: int, buckets: int) -> DataFrame:
     """(bucket, n, heads, bytes): anchors with the bytes of their windows, dealt by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            held: dict[int, list] = {}
-            for doc, t, text, anchors in zip(*(batch.column(i) for i in range(4))):
-                data = text.as_buffer().to_pybytes()
-                doc, t = doc.as_py(), t.as_py()
-                for x in anchors.as_py():
-                    part = data[x["pos"] - x["hi"] : x["pos"] - x["lo"] + least]
-                    heads, parts = held.setdefault((x["h"] >> 20) % buckets, ([], []))
-                    heads.append((x["h"], doc, t, x["pos"], x["hi"], len(part)))
-                    parts.append(part)
-            if held:
+            docs, ts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            data, begins = text_bytes(batch.column(2))
+            listed = batch.column(3)
+            row = np.repeat(np.arange(len(docs)), listed.value_lengths().to_numpy(zero_copy_only=False))
+            h, pos, low, high = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in listed.flatten().flatten())
+            n = high - low + least
+            owner = ((h.view(np.uint64) * np.uint64(MIX)) >> np.uint64(20)).astype(np.int64) % buckets
+            order = np.argsort(owner, kind="stable")
+            heads = np.stack([h, docs[row], ts[row], pos, high, n], axis=1)[order]
+            begin, n, owner = (begins[row] + pos - high)[order], n[order], owner[order]
+            cuts = np.nonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))[0]
+            for first, last in zip(cuts.tolist(), [*cuts[1:].tolist(), len(owner)]):
+                parts = n[first:last]
+                place = np.repeat(begin[first:last] - (np.cumsum(parts) - parts), parts) + np.arange(parts.sum())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(list(held), pa.int64()),
-                        pa.array([np.array(h, np.int64).tobytes() for h, _ in held.values()], pa.binary()),
-                        pa.array([b"".join(p) for _, p in held.values()], pa.binary()),
+                        pa.array(owner[first : first + 1]),
+                        pa.array([heads[first:last].tobytes()], pa.binary()),
+                        pa.array([data[place].tobytes()], pa.binary()),
                     ],
                     ["bucket", "heads", "bytes"],
                 )
@@ -340,9 +374,16 @@ def window_repeats(contexts: DataFrame, least: int) -> DataFrame:
                 kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["w", "doc", "t", "start"])
 
-    windows = checkpointed(contexts.mapInArrow(run, "w binary, doc bigint, t bigint, start int").distinct())
-    groups = windows.groupBy("w").agg(F.min(F.struct("doc", "t", "start")).alias("one"), F.count("*").alias("n"))
-    return join_groups(windows, checkpointed(groups), "w", "n").where("n > 1").select(
+    # one lazy plan, so that the texts behind the contexts are shuffled once for all uses
+    windows = contexts.mapInArrow(run, "w binary, doc bigint, t bigint, start int")
+    ones = (
+        windows.groupBy("w")
+        .agg(F.min(F.struct("doc", "t", "start")).alias("one"), F.count("*").alias("n"))
+        .where("n > 1")
+        .withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
+    )
+    salted = windows.withColumn("salt", F.pmod(F.xxhash64("doc", "start"), F.lit(SALTS)).cast("int"))
+    return salted.join(ones, ["w", "salt"]).select(
         F.hex("w").alias("group"), "doc", "t", "start", F.lit(least).alias("length"),
         (F.struct("doc", "t", "start") == F.col("one")).alias("earliest"),
     )
@@ -356,10 +397,10 @@ def _order(doc_id: Column) -> Column:
 
 
 def identified(docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
-    """(doc_id, doc, t, text): order of the document and number of its text."""
+    """(doc, t, text): order of the document and number of its text."""
     return docs.select(
         *([F.struct(*rest).alias("rest")] if rest else []),
-        "doc_id", _order(F.col("doc_id")).alias("doc"), F.xxhash64(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("t"),
+        _order(F.col("doc_id")).alias("doc"), F.xxhash64(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("t"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
 
@@ -374,8 +415,8 @@ def repeat_groups(
     windows the anchor stands for; together these cover it. Documents are ordered by
     doc_id, null last, then by the hash of the text.
     """
-    if not 0 < gram <= least < 256:
-        raise ValueError("0 < gram <= least < 256")
+    if not 0 < gram <= least <= gram + 127:
+        raise ValueError("gram <= least <= gram + 127")
     texts = identified(docs)
     firsts = checkpointed(texts.groupBy("t").agg(F.min("doc").alias("doc"), F.max(F.octet_length("text")).alias("bytes")))
     total = firsts.agg(F.sum("bytes").alias("n")).first()
@@ -412,10 +453,14 @@ def without_repeats(docs: DataFrame, least: int = LEAST, rest: list[str] | None
     gone = (
         occurrences.where("not earliest")
         .groupBy("t", "doc")
-        .agg(F.collect_set(F.struct("start", "length")).alias("spans"))
+        .agg(F.collect_set(F.shiftleft(F.col("start").cast("bigint"), 32) + F.col("length")).alias("spans"))
     )
     known = firsts.select("t", "doc").join(gone, ["t", "doc"], "left").select("t", "doc", "spans", F.lit(True).alias("first"))
-    joined = identified(docs, rest).join(known, ["t", "doc"], "left").select("doc_id", "text", "spans", "first", *(["rest"] if rest else []))
+    texts = identified(docs, rest)
+    # without other columns the texts are the same rows that the contexts were cut from, and
+    # Spark reuses their shuffle
+    doc_id = F.nullif(F.col("doc"), F.lit(LAST)).cast(docs.schema["doc_id"].dataType).alias("doc_id")
+    joined = texts.join(known, ["t", "doc"], "left").select(doc_id, "text", "spans", "first", *(["rest"] if rest else []))
     schema = T.StructType(
         [
             docs.schema["doc_id"],
@@ -428,9 +473,13 @@ def without_repeats(docs: DataFrame, least: int = LEAST, rest: list[str] | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             rows = []
-            for text, spans, first in zip(batch.column(1), batch.column(2), batch.column(3)):
+            sizes = batch.column(2).value_lengths().fill_null(0).to_pylist()
+            spans = batch.column(2).flatten().to_pylist()
+            at = 0
+            for text, size, first in zip(batch.column(1), sizes, batch.column(3)):
                 data = text.as_buffer().to_pybytes()
-                taken = [(s["start"], s["start"] + s["length"]) for s in spans.as_py()] if spans.is_valid else []
+                taken = [(x >> 32, (x >> 32) + (x & 0xFFFFFFFF)) for x in spans[at : at + size]]
+                at += size
                 if not first.is_valid and len(data) >= least:
                     taken = [(0, len(data))]
                 rows.append(cut(data, taken))
