@@ -28,7 +28,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LONG_WORD = 256
 NO_RANK = 1 << 60
 # Entries a worker keeps; longer pieces are not kept.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 150_000
 KEPT_CHARS = 48
 
 

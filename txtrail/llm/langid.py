@@ -27,7 +27,7 @@ UNKNOWN = "und"
 TRAIN_DOCS = 400
 ROUNDS = 2
 LONGEST_PIECE = 16
-KEPT_WORDS = 400_000
+KEPT_WORDS = 120_000
 # Words over this many bytes are learnt from in runs of this length; scores sum whole words.
 RUN_BYTES = 64
 

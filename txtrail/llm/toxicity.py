@@ -33,7 +33,7 @@ MIN_TOXIC_DOCS = 3
 MIN_RATIO = 12.0
 STEM = 5
 NEAR_WORDS = 6
-KEPT_WORDS = 400_000
+KEPT_WORDS = 120_000
 THRESHOLD = 0.5
 
 # Insults of the public list, and words of the second person.
