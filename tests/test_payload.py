@@ -55,39 +55,37 @@ def test_field_access(column):
 
 
 C = pl.SourceColumn
+
+
+def bounds(type_, bits):
+    """Lowest and highest whole number of a type, signed and not."""
+    return [
+        (C(f"{type_.lower()}_s", type_), [str(-(1 << bits - 1)), str((1 << bits - 1) - 1), None],
+         [-(1 << bits - 1), (1 << bits - 1) - 1, None]),
+        (C(f"{type_.lower()}_u", type_, unsigned=True), ["0", str((1 << bits) - 1), None],
+         [0, (1 << bits) - 1, None]),
+    ]
+
+
 # column, texts of three rows, values of three rows
 MATRIX = [
-    (C("boolnull", "TINYINT"), [None, "1", "0"], [None, 1, 0]),
-    (C("bool", "TINYINT", nullable=False), ["1", "0", "0"], [1, 0, 0]),
-    (C("intnull", "INT"), ["0", None, "42"], [0, None, 42]),
-    (C("smallint", "SMALLINT", nullable=False), ["0", "-32768", "32767"], [0, -32768, 32767]),
-    (C("mediumintnull", "MEDIUMINT"), ["0", "42", None], [0, 42, None]),
-    (C("bigint", "BIGINT", nullable=False), ["0", "65535", "-42"], [0, 65535, -42]),
-    (C("tinyuint", "TINYINT", unsigned=True), ["0", "255", "42"], [0, 255, 42]),
-    (C("smalluint", "SMALLINT", unsigned=True), ["0", "65535", "42"], [0, 65535, 42]),
-    (C("uint13", "INT", unsigned=True), ["0", "4294967295", "42"], [0, 4294967295, 42]),
-    (C("biguint", "BIGINT", unsigned=True), ["0", "18446744073709551615", "42"],
-     [Decimal(0), Decimal(18446744073709551615), Decimal(42)]),
-    (C("floatnull", "FLOAT"), ["0", None, "13.5"], [0.0, None, 13.5]),
-    (C("double", "DOUBLE"), ["0", "42", "13.37"], [0.0, 42.0, 13.37]),
-    (C("decimal1", "DECIMAL", precision=10, scale=6), ["0", "13.37", "1234.123456"],
-     [Decimal(0), Decimal("13.37"), Decimal("1234.123456")]),
-    (C("decimal2", "DECIMAL", precision=8, scale=4), ["0", None, "1234.123456"],
-     [Decimal(0), None, Decimal("1234.1235")]),
-    (C("decimal3", "DECIMAL", precision=5, scale=0), ["0", "13.37", "-12345.123456"],
-     [Decimal(0), Decimal(13), Decimal(-12345)]),
-    (C("char25null", "CHAR"), ["0", None, "Test"], ["0", None, "Test"]),
-    (C("longtext", "LONGTEXT"), ["0", "Test", "42"], ["0", "Test", "42"]),
-    (C("varbinary42", "VARBINARY"), ["MA==", "VGVzdA==", "NDI="], [b"0", b"Test", b"42"]),
-    (C("datetime", "DATETIME"),
-     ["2006-01-02 15:04:05", "0000-00-00 00:00:00", "2006-01-02 15:04:05.111111"],
-     [dt.datetime(2006, 1, 2, 15, 4, 5), dt.datetime(1, 1, 1),
-      dt.datetime(2006, 1, 2, 15, 4, 5, 111111)]),
-    (C("date", "DATE"), ["2006-01-02", None, "2006-03-04"],
-     [dt.date(2006, 1, 2), None, dt.date(2006, 3, 4)]),
-    (C("time", "TIME"), ["12:34:56", "-838:59:59", None],
-     [45_296_000_000, -3_020_399_000_000, None]),
-    (C("year", "YEAR", nullable=False), ["2006", "2000", "1994"], [2006, 2000, 1994]),
+    *bounds("TINYINT", 8), *bounds("SMALLINT", 16), *bounds("MEDIUMINT", 24), *bounds("INT", 32),
+    (C("big_s", "BIGINT"), [str(-(1 << 63)), str((1 << 63) - 1), None], [-(1 << 63), (1 << 63) - 1, None]),
+    (C("big_u", "BIGINT", unsigned=True), ["0", str((1 << 64) - 1), None], [Decimal(0), Decimal((1 << 64) - 1), None]),
+    (C("single", "FLOAT"), ["-0.5", "1e3", None], [-0.5, 1000.0, None]),
+    (C("twice", "DOUBLE"), ["0.1", "-2e-3", "x"], [0.1, -0.002, None]),
+    (C("money", "DECIMAL", precision=9, scale=2), ["7.005", "-9999999.99", None],
+     [Decimal("7.01"), Decimal("-9999999.99"), None]),
+    (C("short", "CHAR"), ["", " é ", None], ["", " é ", None]),
+    (C("long", "LONGTEXT"), ["0", "q" * 300, None], ["0", "q" * 300, None]),
+    (C("raw", "VARBINARY"), ["", "/wA=", None], [b"", b"\xff\x00", None]),
+    # fixed value: the zero date stands for the first of January of year one
+    (C("moment", "DATETIME"), ["1999-12-31 23:59:59.999999", "0000-00-00 00:00:00", None],
+     [dt.datetime(1999, 12, 31, 23, 59, 59, 999999), dt.datetime(1, 1, 1), None]),
+    (C("day", "DATE"), ["2024-02-29", "1970-01-01", None], [dt.date(2024, 2, 29), dt.date(1970, 1, 1), None]),
+    # fixed value: the lowest time of the type
+    (C("span", "TIME"), ["-838:59:59", "01:02:03.5", None], [-3_020_399_000_000, 3_723_500_000, None]),
+    (C("year", "YEAR"), ["1901", "2155", None], [1901, 2155, None]),
 ]
 
 

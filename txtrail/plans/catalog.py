@@ -260,11 +260,11 @@ def datetime_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, day = F.col("o_orderkey") % 8, F.date_format("o_orderdate", "yyyy-MM-dd")
     text = (
         F.when(kind == 0, day)
-        .when(kind == 1, F.concat(day, F.lit(" 21:27:37")))
-        .when(kind == 2, F.concat(day, F.lit(" 21:27:37.5")))
-        .when(kind == 3, F.concat(day, F.lit(" 21:27:37.123456")))
+        .when(kind == 1, F.concat(day, F.lit(" 19:41:23")))
+        .when(kind == 2, F.concat(day, F.lit(" 19:41:23.5")))
+        .when(kind == 3, F.concat(day, F.lit(" 19:41:23.123456")))
         .when(kind == 4, F.lit("0000-00-00 00:00:00"))
-        .when(kind == 5, F.concat(day, F.lit(" 21:27:37.")))
+        .when(kind == 5, F.concat(day, F.lit(" 19:41:23.")))
         .when(kind == 6, F.concat(F.substring(day, 1, 5), F.lit("13-01")))
     )
     parsed = tm.nullable_time(F.col("text"))

@@ -272,12 +272,12 @@ ORACLE = {
     "datetime_text": f"""
         SELECT o_orderkey,
                CASE o_orderkey % 8 WHEN 0 THEN {_DAY} || ' 00:00:00.000000'
-                 WHEN 1 THEN {_DAY} || ' 21:27:37.000000' WHEN 2 THEN {_DAY} || ' 21:27:37.500000'
-                 WHEN 3 THEN {_DAY} || ' 21:27:37.123456'
+                 WHEN 1 THEN {_DAY} || ' 19:41:23.000000' WHEN 2 THEN {_DAY} || ' 19:41:23.500000'
+                 WHEN 3 THEN {_DAY} || ' 19:41:23.123456'
                  WHEN 4 THEN '0001-01-01 00:00:00.000000' END AS "time",
                o_orderkey % 8 < 5 AS valid,
                CASE o_orderkey % 8
-                 WHEN 5 THEN 'invalid time string: ' || {_DAY} || ' 21:27:37.'
+                 WHEN 5 THEN 'invalid time string: ' || {_DAY} || ' 19:41:23.'
                  WHEN 6 THEN 'invalid time string: ' || substr({_DAY}, 1, 5) || '13-01' END AS error
         FROM orders""",
     "duration_text": """
