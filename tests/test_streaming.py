@@ -173,6 +173,7 @@ def test_print_handler(spark, options, capfd):
     send_events(spark, options, "a")
     send_tx(spark, options, ("a", "1.."))
     txtrail.build(spark, options).run_available(handlers.print_records)
+    assert '"gtid":"a"' in capfd.readouterr().out
 
 
 def test_jobs_run_until_stopped(spark, options):

@@ -14,26 +14,17 @@ from pyspark.sql import functions as F
 HOT_MIN_ROWS = 1_000_000
 # A key is hot from this share of all rows on, which also bounds their number.
 HOT_SHARE = 1 / 500
-# Inputs estimated to be smaller are not looked at.
-HOT_MIN_BYTES = 1 << 30
 
 _SKETCH_ITEMS = 5_000
 _SKETCH_GROUPS = 256
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Size of the result as the optimizer estimates it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def hot_keys(df: DataFrame, key: str = "gtid") -> list[str]:
     """Keys with at least HOT_SHARE and HOT_MIN_ROWS of the rows: at most 1 / HOT_SHARE of them.
 
     Frequent-item sketches per task, merged in two steps: one pass over the key
     column that shuffles sketches, not keys. A key missed here only costs time.
     """
-    if estimated_bytes(df) < HOT_MIN_BYTES:
-        return []
     group = (F.spark_partition_id() % _SKETCH_GROUPS).alias("_group")
     top = int(1 / HOT_SHARE)
     sketches = (

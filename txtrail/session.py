@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import tempfile
 import uuid
 
@@ -52,6 +54,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@functools.lru_cache(maxsize=256)
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """Id of the streaming query as its checkpoint keeps it: another checkpoint, another id."""
+    return _query_id(spark, checkpoint)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder, with no lineage behind them."""
     shared_folder(df.sparkSession)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from txtrail.operators.filters import included_tables, row_events
 from txtrail.operators.projections import raw_to_event, to_stored_event
 from txtrail.options import TopicOptions, TrailOptions
+from txtrail.session import query_id
 from txtrail.sources.tables import append_events
 from txtrail.sources.topics import (
     CORRUPT,
@@ -96,8 +97,10 @@ def start_ingest(
     # stamped here and not per write: a replayed micro-batch gets the same time
     stored = to_stored_event(decoded, keep=[CORRUPT])
 
+    checkpoint = f"{options.checkpoints}/ingest"
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        name = f"ingest-{batch_id}"
+        name = f"ingest-{query_id(spark, checkpoint)}-{batch_id}"
         # bad messages are counted on the way and looked up again only if there are any
         counted = Observation()
         bad = F.count_if(F.col(CORRUPT).isNotNull()).alias("bad")
@@ -109,7 +112,7 @@ def start_ingest(
     return (
         stored.writeStream.queryName("ingest")
         .foreachBatch(write)
-        .option("checkpointLocation", f"{options.checkpoints}/ingest")
+        .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": f"{options.flush_interval} seconds"}))
         .start()
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,9 @@ def reconcile_once(
     """
     as_of = as_of or dt.datetime.now(dt.timezone.utc)
     now = F.lit(as_of).cast("timestamp")
-    batch = f"reconcile-{batch_id}"
+    # a name of its own: what a pass writes is never replaced by a replay, whose pending
+    # transactions may be others; redeliveries are resolved on reading
+    batch = f"reconcile-{batch_id}-{uuid.uuid4().hex[:12]}"
     versions = read_tx_versions(spark, options.store)
     # the files of `versions` are fixed by now: what is appended below is not seen
     pending = pending_tx(versions, now, options.lookback_hours, options.pending_limit).persist()
