@@ -112,6 +112,31 @@ def test_closed_day_has_the_same_rows_in_narrow_files(spark, tmp_path):
     before.unpersist()
 
 
+def test_closed_day_takes_later_batches(spark, tmp_path):
+    options = TrailOptions(str(tmp_path), str(tmp_path / "ck"), time_zone="UTC")
+    path = tables.event_path(options.store)
+
+    def sizes():
+        rows = tables.read_events(spark, options.store).groupBy("batch").count().collect()
+        return {r["batch"]: r["count"] for r in rows}
+
+    tables.append_events(stored(spark, 10), options.store, "a", "UTC")
+    assert jobs.close_days_before(spark, options, "20240302") == ["20240301"]
+    assert jobs.close_days_before(spark, options, "20240302") == []
+    tables.append_events(stored(spark, 20), options.store, "b", "UTC")
+    assert sizes() == {"a": 10, "b": 20}
+    # a late batch is closed with the others, and nothing is there twice in between
+    assert jobs.close_days_before(spark, options, "20240302") == ["20240301"]
+    assert sizes() == {"a": 10, "b": 20}
+    tables.append_events(stored(spark, 30), options.store, "c", "UTC")
+    assert tables.drop_closed(spark, path) == ["20240301"]
+    assert sizes() == {"a": 10, "b": 20, "c": 30}
+    assert tables.open_days(spark, path) == ["20240301"]
+    # the replay of a batch that is closed changes nothing
+    tables.append_events(stored(spark, 10), options.store, "a", "UTC")
+    assert sizes() == {"a": 10, "b": 20, "c": 30}
+
+
 def test_unfinished_rewrite_is_not_read(spark, tmp_path):
     store = str(tmp_path)
     tables.append_events(stored(spark), store, "1", "UTC")

@@ -24,7 +24,7 @@ from txtrail.operators import snapshots, state
 from txtrail.options import EXPECTED_COUNT, QUIESCENT, TopicOptions, TrailOptions
 from txtrail.plans import fixtures as fx
 from txtrail.plans import reports
-from txtrail.plans.jobs import backfill
+from txtrail.plans.jobs import backfill, close_days_before
 from txtrail.session import new_folder
 from txtrail.sources import bulk_text, handlers, tables, topics
 from txtrail.streaming import ingest, online, reconcile
@@ -440,6 +440,27 @@ def reconcile_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("gtid", "context", "n_events", F.lit(2).alias("status"))
 
 
+def two_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two notices of every transaction with a context each; the second of every other one is done."""
+    first = fx.tx_info(spark, sf_dir).withColumn("seq", F.lit(1))
+    second = first.withColumn("context", F.concat("context", F.lit("+")))
+    later = F.expr("time + INTERVAL 1 HOUR").cast(first.schema["time"].dataType)
+    second = second.withColumn("time", later)
+    done = second.where(F.pmod(F.element_at(F.split("gtid", ":"), -1).cast("bigint"), F.lit(2)) == 0)
+    versions = state.add_versions(first, second)
+    return state.add_versions(versions, done.withColumns({"status": F.lit(2), "seq": F.lit(2)}))
+
+
+@query
+def reconcile_two_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for every pending notice that has events, whatever the other notice's status."""
+    as_of = fx.clock("2001-08-01 00:00:00")
+    pending = state.pending_notices(two_notices(spark, sf_dir), as_of, hours=60 * 24)
+    events = joins.restrict_to(fx.binlog_event(spark, sf_dir), pending)
+    done = records.audit_records(pending, events)
+    return done.select("gtid", "context", "n_events")
+
+
 @query
 def retention_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = state.retained(fx.binlog_event(spark, sf_dir), fx.clock("2001-11-04 00:00:00"), 30)
@@ -599,6 +620,42 @@ def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def stored_two_backfills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two calls of the whole-history job with other transactions of the same days."""
+    store = new_folder(spark, "store")
+    _backfill_by_flag(spark, sf_dir, store, 0)
+    _backfill_by_flag(spark, sf_dir, store, 1)
+    return _stored_sizes(spark, store)
+
+
+@query
+def stored_late_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written to days that are closed already, then closed again."""
+    store = new_folder(spark, "store")
+    options = TrailOptions(store, f"{store}/checkpoints", time_zone="UTC")
+    _backfill_by_flag(spark, sf_dir, store, 0)
+    close_days_before(spark, options, "99991231")
+    _backfill_by_flag(spark, sf_dir, store, 1)
+    for _ in range(2):
+        close_days_before(spark, options, "99991231")
+    return _stored_sizes(spark, store)
+
+
+def _backfill_by_flag(spark: SparkSession, sf_dir: str, store: str, odd: int) -> None:
+    """The even or the odd transactions; both halves together are all of them."""
+    tx = fx.notices(spark, sf_dir)
+    half = tx.where(F.pmod("time", F.lit(2)) == odd)
+    tx = half.withColumn("time", F.timestamp_seconds("time"))
+    backfill(spark, store, tx, fx.binlog_event(spark, sf_dir), seq=1, tz="UTC")
+
+
+def _stored_sizes(spark: SparkSession, store: str) -> DataFrame:
+    """Without resolving redeliveries, so a record that is there twice shows."""
+    stored = tables.read_audit(spark, store)
+    return stored.select("gtid", "context", F.size("events").cast("bigint").alias("n_events"))
+
+
 @query
 def stored_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statuses as the whole-history job stores them."""

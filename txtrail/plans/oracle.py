@@ -356,6 +356,18 @@ ORACLE = {
            FROM tx_info t JOIN binlog_event e ON t.gtid = e.gtid
            WHERE t."time" >= TIMESTAMP '2001-08-01' - INTERVAL 60 DAY GROUP BY t.gtid, t.context""",
     ),
+    "reconcile_two_notices": _with(
+        _BOTH,
+        """SELECT t.gtid, t.context, count(*) AS n_events
+           FROM (
+             SELECT gtid, context, "time" FROM tx_info
+             UNION ALL
+             SELECT gtid, context || '+', "time" + INTERVAL 1 HOUR FROM tx_info
+             WHERE CAST(split_part(gtid, ':', -1) AS BIGINT) % 2 <> 0) t
+           JOIN binlog_event e ON t.gtid = e.gtid
+           WHERE t."time" >= TIMESTAMP '2001-08-01' - INTERVAL 60 DAY
+           GROUP BY t.gtid, t.context""",
+    ),
     "retention_events": _with(
         _EV,
         """SELECT gtid, "table", action, data FROM binlog_event
@@ -430,6 +442,16 @@ ORACLE = {
         FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1
             HAVING count(*) FILTER (l_linestatus = 'O') > 0) ON l_orderkey = o_orderkey
         WHERE substr(o_orderpriority, 1, 1) = '1' AND o_orderkey >= 600""",
+    "stored_two_backfills": _with(
+        _BOTH,
+        """SELECT t.gtid, t.context, count(*) AS n_events
+           FROM tx_info t JOIN binlog_event e ON t.gtid = e.gtid GROUP BY t.gtid, t.context""",
+    ),
+    "stored_late_records": _with(
+        _BOTH,
+        """SELECT t.gtid, t.context, count(*) AS n_events
+           FROM tx_info t JOIN binlog_event e ON t.gtid = e.gtid GROUP BY t.gtid, t.context""",
+    ),
     "stored_statuses": _with(
         ["matched"],
         f"""SELECT '{SERVER}:' || CAST(o_orderkey AS VARCHAR) AS gtid, {CONTEXT} AS context,

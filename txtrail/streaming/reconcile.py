@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from txtrail.operators.projections import to_stored_tx
-from txtrail.operators.state import pending_tx
+from txtrail.operators.state import pending_notices
 from txtrail.options import TrailOptions
 from txtrail.schemas import STATUS_PROCESSED
 from txtrail.sources.handlers import Handler, deliver
@@ -27,7 +27,7 @@ def reconcile_once(
 ) -> bool:
     """One pass; True when there was something pending.
 
-    Matched transactions get a new version with status 2, the others stay as they are
+    Matched notices get a new version with status 2, the others stay as they are
     and are looked at again until the lookback has passed.
     """
     as_of = as_of or dt.datetime.now(dt.timezone.utc)
@@ -37,7 +37,9 @@ def reconcile_once(
     batch = f"reconcile-{batch_id}-{uuid.uuid4().hex[:12]}"
     versions = read_tx_versions(spark, options.store)
     # the files of `versions` are fixed by now: what is appended below is not seen
-    pending = pending_tx(versions, now, options.lookback_hours, options.pending_limit).persist()
+    pending = pending_notices(
+        versions, now, options.lookback_hours, options.pending_limit
+    ).persist()
     if pending.isEmpty():
         pending.unpersist()
         return False
