@@ -201,6 +201,16 @@ def test_url_rules(spark):
     assert got[len(urls) - 2][3] == "block" and got[len(urls) - 1][3] == "allow"
 
 
+def test_words_advance_together_as_one_by_one():
+    rng = random.Random(5)
+    table = {bytes([b]): (rng.random() * 1e-6, rng.random()) for b in b"abc"}
+    table |= {bytes(rng.choices(b"abc", k=rng.randrange(2, 17))): (rng.random(), rng.random() * 1e-5) for _ in range(40)}
+    words = [bytes(rng.choices(b"abc", k=n)) for n in [1, 1, 2, 7, 8, 9, 16, 17, 300, 900]] + [p * 3 for p in table]
+    want = [langid.log_forward(w, table, 2) for w in words]
+    assert np.allclose(langid.Pieces(table, 2).log_forward(words), want)
+    assert np.isneginf(langid.Pieces(table, 2).log_forward([b"a", b"ax"])[1]).all()
+
+
 def test_language_sums_all_segmentations(spark, documents):
     table = {b"a": (0.5, 0.1), b"b": (0.2, 0.3), b"ab": (0.3, 0.6)}
     assert np.allclose(np.exp(langid.log_forward(b"ab", table, 2)), [0.5 * 0.2 + 0.3, 0.1 * 0.3 + 0.6])

@@ -27,9 +27,14 @@ UNKNOWN = "und"
 TRAIN_DOCS = 400
 ROUNDS = 2
 LONGEST_PIECE = 16
-KEPT_WORDS = 120_000
+KEPT_WORDS = 300_000
 # Words over this many bytes are learnt from in runs of this length; scores sum whole words.
 RUN_BYTES = 64
+# New words are scored in blocks of about this many bytes, longer words one at a time.
+BLOCK_BYTES = 1 << 18
+LONG_WORD = 1 << 12
+# Sums are rescaled after this many bytes, before they leave the range of a double.
+RESCALE = 8
 
 NO_LETTER = regex.compile(r"[^\p{L}]+")
 
@@ -43,7 +48,7 @@ def vocabulary(path: str) -> dict[bytes, int]:
 
 def spelled(word: str) -> bytes:
     """Letters of a word in lower case behind a space; nothing if it has none."""
-    letters = NO_LETTER.sub("", word).lower()
+    letters = (word if word.isalpha() else NO_LETTER.sub("", word)).lower()
     return f" {letters}".encode() if letters else b""
 
 
@@ -59,24 +64,25 @@ def found_pieces(word: bytes, table: dict) -> list[list]:
 
 
 def log_forward(word: bytes, table: dict, n_langs: int) -> list[float]:
-    """Log probability of a word in each language, over all segmentations."""
-    ends = found_pieces(word, table)
-    out = []
-    for lang in range(n_langs):
-        sums = [1.0] + [0.0] * len(word)
-        log = 0.0
-        for end in range(1, len(word) + 1):
-            total = 0.0
-            for start, probs in ends[end]:
-                total += sums[start] * probs[lang]
-            sums[end] = total
-            if total < 1e-200:  # keep long words in range
-                scale = 1 / (total or 5e-324)
-                for i in range(max(0, end - LONGEST_PIECE), end + 1):
-                    sums[i] *= scale
-                log -= math.log(scale)
-        out.append(math.log(sums[-1]) + log)
-    return out
+    """Log probability of a word in each language, over all segmentations.
+
+    Only the sums of the last places are held, so a word may be of any length.
+    """
+    sums = {0: [1.0] * n_langs}
+    logs = [0.0] * n_langs
+    for end in range(1, len(word) + 1):
+        totals = [0.0] * n_langs
+        for start, before in sums.items():
+            probs = table.get(word[start:end])
+            if probs is not None:
+                totals = [t + b * p for t, b, p in zip(totals, before, probs)]
+        sums[end] = totals
+        sums.pop(end - LONGEST_PIECE, None)
+        if end % RESCALE == 0:
+            scales = [1 / t if t else 1.0 for t in totals]
+            sums = {at: [x * k for x, k in zip(row, scales)] for at, row in sums.items()}
+            logs = [x - math.log(k) for x, k in zip(logs, scales)]
+    return [math.log(t) + x if t else -math.inf for t, x in zip(sums[len(word)], logs)]
 
 
 def expected_counts(word: bytes, table: dict, lang: int) -> Iterator[tuple[bytes, float]]:
@@ -176,36 +182,129 @@ def smoothed(expected: list, langs: list[str], pieces: dict[bytes, int], weight:
     return {p: tuple(x / t for x, t in zip(c, totals)) for p, c in counts.items()}
 
 
-class WordScores(dict):
-    """Row of each word in a growing table of log probabilities; row 0 has no letters."""
+class Pieces:
+    """The pieces as a trie in arrays: sorted (node, byte) keys, whose places are the children.
+
+    Nodes are numbered by (length, bytes) of their prefix, so the keys come out sorted.
+    """
+
+    def __init__(self, probs: dict[bytes, tuple[float, ...]], n_langs: int) -> None:
+        prefixes = sorted({p[:n] for p in probs for n in range(1, len(p) + 1)}, key=lambda p: (len(p), p))
+        node = {b"": 0} | {p: i + 1 for i, p in enumerate(prefixes)}
+        self.keys = np.array([node[p[:-1]] << 8 | p[-1] for p in prefixes], np.int64)
+        self.piece = np.full(len(node), -1, np.int32)
+        for i, p in enumerate(probs):
+            self.piece[node[p]] = i
+        self.probs = np.array(list(probs.values()), np.float64).reshape(len(probs), n_langs)
+
+    def found(self, data: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, piece) of all pieces in the bytes; stops has the word end of each byte."""
+        starts = np.arange(len(data), dtype=np.int32)
+        node = np.zeros(len(data), np.int64)
+        out = []
+        for depth in range(LONGEST_PIECE):
+            inside = starts + depth < stops[starts]
+            starts, node = starts[inside], node[inside]
+            wanted = node << 8 | data[starts + depth]
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            hit = self.keys[at] == wanted
+            starts, node = starts[hit], at[hit] + 1
+            piece = self.piece[node]
+            ends = piece >= 0
+            out.append((starts[ends], np.full(int(ends.sum()), depth + 1, np.int32), piece[ends]))
+        starts, lengths, pieces = map(np.concatenate, zip(*out))
+        return starts, lengths, pieces
+
+    def log_forward(self, words: list[bytes]) -> np.ndarray:
+        """As `log_forward` of each word: all words advance by one byte together."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        data = np.frombuffer(b"".join(words), np.uint8)
+        word = np.repeat(np.arange(len(words)), sizes)
+        starts, lengths, pieces = self.found(data, (first + sizes)[word])
+        # a word of n bytes has n + 1 places
+        zero = first + np.arange(len(words))
+        begin = starts + word[starts]
+        end = begin + lengths
+        step = end - zero[word[starts]]
+        # stable, so that a word's sum does not depend on the others in the block
+        order = np.argsort(step * (len(data) + len(words) + 1) + end, kind="stable")
+        begin, end, pieces = begin[order], end[order], pieces[order]
+        longest = int(sizes.max())
+        bounds = np.searchsorted(step[order], np.arange(1, longest + 2))
+        sums = np.zeros((len(data) + len(words), self.probs.shape[1]))
+        logs = np.zeros((len(words), self.probs.shape[1]))
+        sums[zero] = 1.0
+        for t in range(1, longest + 1):
+            a, b = bounds[t - 1], bounds[t]
+            if a < b:
+                to = end[a:b]
+                heads = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+                sums[to[heads]] = np.add.reduceat(sums[begin[a:b]] * self.probs[pieces[a:b]], heads, axis=0)
+            if t % RESCALE == 0:
+                going = np.flatnonzero(sizes >= t)
+                last = sums[zero[going] + t]
+                scale = 1 / np.where(last > 0, last, 1.0)
+                for back in range(min(LONGEST_PIECE, t + 1)):
+                    sums[zero[going] + t - back] *= scale
+                logs[going] -= np.log(scale)
+        with np.errstate(divide="ignore"):
+            return np.log(sums[zero + sizes]) + logs
+
+
+class WordScores:
+    """Rows of words in a growing table of log probabilities; row 0 has no letters."""
 
     def __init__(self, model: Model) -> None:
-        super().__init__()
         self.model = model
-        self.rows = np.zeros((1024, len(model.langs)))
-        self.used = 1
-
-    def __missing__(self, word: str) -> int:
-        plain = spelled(word)
-        row = 0
-        if plain:
-            if self.used == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            row = self.used
-            self.rows[row] = log_forward(plain, self.model.probs, len(self.model.langs))
-            self.used += 1
-        self[word] = row
-        return row
-
-    def of(self, text: str) -> np.ndarray | None:
-        """Summed log probabilities; nothing where no word has a letter."""
-        if self.used > KEPT_WORDS:
-            self.clear()
-            self.used = 1
-        words = text.split()
-        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        rows = rows[rows > 0]
-        return self.rows[rows].sum(axis=0) if len(rows) else None
+        self.pieces = Pieces(model.probs, len(model.langs))
+        self.forget()
+
+    def forget(self) -> None:
+        self.row_of: dict[str, int] = {}
+        self.row_of_letters: dict[bytes, int] = {b"": 0}
+        self.rows = np.zeros((1024, len(self.model.langs)))
+
+    def learn(self, words: set[str]) -> None:
+        """Rows for words not met before, in blocks of bounded size."""
+        letters = {w: spelled(w) for w in words}
+        block: list[bytes] = []
+        held = 0
+        for plain in set(letters.values()) - self.row_of_letters.keys():
+            if len(plain) > LONG_WORD:
+                self.add([plain], np.array([log_forward(plain, self.model.probs, len(self.model.langs))]))
+                continue
+            block.append(plain)
+            held += len(plain)
+            if held >= BLOCK_BYTES:
+                self.add(block, self.pieces.log_forward(block))
+                block, held = [], 0
+        if block:
+            self.add(block, self.pieces.log_forward(block))
+        self.row_of |= {w: self.row_of_letters[p] for w, p in letters.items()}
+
+    def add(self, words: list[bytes], logs: np.ndarray) -> None:
+        used = len(self.row_of_letters)
+        while len(self.rows) < used + len(words):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[used : used + len(words)] = logs
+        self.row_of_letters |= {w: used + i for i, w in enumerate(words)}
+
+    def of(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """Summed log probabilities of each text; nothing where no word has a letter."""
+        if len(self.row_of) > KEPT_WORDS:
+            self.forget()
+        found: set[str] = set()
+        for text in texts:
+            found.update((text or "").split())
+        self.learn(found - self.row_of.keys())
+        out: list[np.ndarray | None] = []
+        for text in texts:
+            words = (text or "").split()
+            rows = np.fromiter(map(self.row_of.__getitem__, words), np.int64, len(words))
+            rows = rows[rows > 0]
+            out.append(self.rows[rows].sum(axis=0) if len(rows) else None)
+        return out
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
@@ -220,12 +319,11 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(held.value)
         langs = held.value.langs
+        scores = WordScores(held.value) if langs else None
         for batch in sliced(batches):
             names, shares = [], []
-            for text in batch.column(1):
-                found = scores.of(text.as_py()) if text.is_valid and langs else None
+            for found in scores.of(batch.column(1).to_pylist()) if scores else [None] * batch.num_rows:
                 if found is None:
                     names.append(UNKNOWN)
                     shares.append(0.0)
