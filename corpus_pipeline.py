@@ -19,16 +19,11 @@ from txtrail.session import new_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose calibrated toxicity is below the threshold.
-
-    Rows without a doc_id are judged by their text; rows that share a doc_id go together.
-    """
+    """Documents whose calibrated toxicity is below the threshold, each row judged by its text."""
     learn = table(spark, sf_dir, "labels").where(~held_out())
-    text_key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    key = F.coalesce(F.col("doc_id").cast("string"), text_key)
-    judged = toxicity.scored(docs.select(key.alias("doc_id"), "text"), learn.withColumn("doc_id", F.col("doc_id").cast("string")), "toxic")
-    toxic = judged.where(F.col("score") >= toxicity.THRESHOLD).select(F.col("doc_id").alias("key")).distinct()
-    return docs.join(toxic, key == toxic["key"], "left_anti").select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    clean = toxicity.scored(docs, learn, "toxic", rest=rest).where(F.col("score") < toxicity.THRESHOLD)
+    return clean.select(*[F.col(c if c in ("doc_id", "text") else f"rest.{c}") for c in docs.columns])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,9 +43,12 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
 
 
 def sliced(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """All batches in slices; the buffers go back to the system when the task is through."""
     for batch in batches:
         if batch.num_rows:
             yield from slices(batch, column)
+    batch = None
+    pa.default_memory_pool().release_unused()
 
 
 def partitions_for(rows: int, rows_each: int, least: int = 1) -> int:

@@ -21,6 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txtrail.llm.common import sliced
 from txtrail.session import checkpointed
@@ -165,20 +166,28 @@ def dense(text: str, kinds: WordKinds) -> list[float]:
     ]
 
 
-def features(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(doc_id, features...) of each whole text; null counts as empty."""
+def along(rest: list[str] | None) -> list[str]:
+    """Columns that come along with a score."""
+    return ["doc_id"] if rest is None else ["doc_id", "text", *(["rest"] if rest else [])]
+
+
+def features(docs: DataFrame, lexicon: Lexicon, rest: list[str] | None = None) -> DataFrame:
+    """(doc_id, features...) of each whole text; null counts as empty.
+
+    With `rest`, the text and a struct `rest` of those columns come along.
+    """
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text", *([F.struct(*rest).alias("rest")] if rest else []))
+    kept = along(rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = WordKinds(held.value)
         for batch in sliced(batches):
-            rows = [dense(t.as_py() or "", kinds) for t in batch.column(1)]
-            columns = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(FEATURES))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *FEATURES])
+            found = [dense(t.as_py() or "", kinds) for t in batch.column(1)]
+            columns = [pa.array([r[i] for r in found], pa.float64()) for i in range(len(FEATURES))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], [*kept, *FEATURES])
 
-    columns = ", ".join(f"{f} double" for f in FEATURES)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, {columns}")
+    return rows.mapInArrow(run, T.StructType([rows.schema[c] for c in kept] + [T.StructField(f, T.DoubleType()) for f in FEATURES]))
 
 
 def sample(labels: DataFrame, label: str, most: int) -> DataFrame:
@@ -190,9 +199,12 @@ def sample(labels: DataFrame, label: str, most: int) -> DataFrame:
     return known.where(place < most / n) if n > most else known
 
 
-def scored(docs: DataFrame, labels: DataFrame, label: str, most: int = TRAIN_DOCS) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, label: str, most: int = TRAIN_DOCS, rest: list[str] | None = None) -> DataFrame:
     """(doc_id, score) of each row: calibrated probability that `label` is 1.
 
+    With `rest`, the text and a struct `rest` of those columns come along, so that rows can
+    be kept or dropped by their score without a join that moves the texts.
+
     `labels` has doc_id and the label (0, 1; others and null are passed over) of the rows to
     learn from. Null and empty texts are scored by their features like any other. Where the
     labelled rows are of one class only, or none, every score is that class, or 0. Columns
@@ -204,7 +216,8 @@ def scored(docs: DataFrame, labels: DataFrame, label: str, most: int = TRAIN_DOC
     learnt = checkpointed(texts.select("doc_id", "text", "label"))
     classes = sorted(r["label"] for r in learnt.select("label").distinct().collect())
     if len(classes) < 2:
-        return docs.select("doc_id", F.lit(float(classes[0]) if classes else 0.0).alias("score"))
+        rows = docs.select("doc_id", "text", *([F.struct(*rest).alias("rest")] if rest else []))
+        return rows.select(*along(rest), F.lit(float(classes[0]) if classes else 0.0).alias("score"))
     lexicon = learnt_lexicon(learnt)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
     known = checkpointed(features(learnt, lexicon).join(chosen, "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5))))
@@ -217,10 +230,11 @@ def scored(docs: DataFrame, labels: DataFrame, label: str, most: int = TRAIN_DOC
         out = trees.transform(frame)
         return out.withColumn("margin", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
-    rest = margin(rows.where("part = 0")) if two else margin(rows)
-    both = rest.select("margin", "label").union(margin(fitting).select("margin", "label")) if rest.isEmpty() else rest
+    curved = margin(rows.where("part = 0")) if two else margin(rows)
+    both = curved.select("margin", "label").union(margin(fitting).select("margin", "label")) if curved.isEmpty() else curved
     curve = IsotonicRegression(featuresCol="margin", labelCol="label").fit(both)
-    all_ = margin(assembler.transform(features(docs, lexicon)).select("doc_id", "features"))
+    kept = along(rest)
+    all_ = margin(assembler.transform(features(docs, lexicon, rest)).select(*kept, "features"))
     # a step of the curve keeps the order of the trees inside it
     fitted = curve.transform(all_)
-    return fitted.select("doc_id", (0.98 * F.col("prediction") + 0.02 * F.col("margin")).alias("score"))
+    return fitted.select(*kept, (0.98 * F.col("prediction") + 0.02 * F.col("margin")).alias("score"))
