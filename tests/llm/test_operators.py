@@ -254,3 +254,16 @@ def test_empty_tables(spark, documents):
     assert maxscore.search(vectors, F.lit(True)).count() == 0
     pages = spark.createDataFrame([], "page_id bigint, url string")
     assert urlrules.judged(pages, URL_RULES).count() == 0
+
+
+def test_toxicity_carries_rows_along(spark, documents):
+    docs = documents([(1, "lamp"), (2, None), (None, "salt"), (2, None)]).selectExpr("*", "7 AS score", "8 AS hits")
+    labels = spark.createDataFrame([(1, 1)], "doc_id bigint, toxic int")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    got = toxicity.scored(docs, labels, "toxic", rest=rest)
+    assert got.columns == ["doc_id", "text", "rest", "score"]
+    back = got.select("doc_id", "text", "rest.*")
+    assert sorted(back.collect(), key=str) == sorted(docs.collect(), key=str)
+    rows = toxicity.features(docs, toxicity.Lexicon({"lamp": 1.0}), rest)
+    assert sorted(rows.select("doc_id", "text", "rest.*").collect(), key=str) == sorted(docs.collect(), key=str)
+    assert toxicity.features(docs, toxicity.Lexicon({}), []).columns == ["doc_id", "text", *toxicity.FEATURES]
