@@ -1,8 +1,10 @@
 """Operators against brute force on small tables with awkward rows."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -84,6 +86,54 @@ def test_similar_documents_keep_the_first(documents):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [3, 7, 9, None]
 
 
+def five_word_counts(text):
+    words = (text or "").split()
+    return Counter(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+
+
+def cosine(x, y):
+    return sum(n * y[s] for s, n in x.items()) / math.sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values()) or 1)
+
+
+def versions(n, seed, changes):
+    """Pairs of random texts and versions of them: words changed, a passage appended or cut off."""
+    rng = random.Random(seed)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % 20_000}"
+    for i in range(n):
+        base = [word() for _ in range(rng.randrange(100, 400))]
+        kind, share = changes[i % len(changes)]
+        other = list(base)
+        if kind == "edit":
+            for at in rng.sample(range(len(base)), int(len(base) * share)):
+                other[at] = word()
+        elif kind == "append":
+            other += [word() for _ in range(int(len(base) * share))]
+        else:
+            other = base[: int(len(base) * (1 - share))]
+        yield " ".join(base), " ".join(other)
+
+
+def test_similar_pairs_are_verified(documents):
+    made = list(versions(240, 21, [("edit", 0.01 * k / 2) for k in range(4, 16)]))
+    of = [cosine(*map(five_word_counts, pair)) for pair in made]
+    assert sum(0.7 < c < 0.8 for c in of) > 30 and sum(0.8 <= c < 0.9 for c in of) > 30
+    rows = [(2 * i + k, text) for i, pair in enumerate(made) for k, text in enumerate(pair)]
+    found = {r.doc_id: r.component_id for r in simhash.similar_components(documents(rows)).collect()}
+    linked = [found[2 * i + 1] == 2 * i for i in range(len(made))]
+    assert all(found[2 * i] == 2 * i for i in range(len(made)))
+    assert not [c for c, joined in zip(of, linked) if joined and c < 0.8]
+    missed = [c for c, joined in zip(of, linked) if not joined and c >= 0.8]
+    assert len(missed) <= 0.1 * sum(c >= 0.8 for c in of)
+
+
+def test_similarity_of_just_the_threshold_and_rows_that_repeat(documents):
+    one, four = "a b c d e", "a b c d e f g h i"  # four: five shingles, one of them that of `one`
+    nine = "a b c d e f g h x"  # four of these five are those of `four`
+    rows = [(1, four), (2, nine), (2, nine), (1, one), (5, None), (4, " "), (3, "A  b c d e f g h i")]
+    found = {(r.doc_id, r.component_id) for r in simhash.similar_components(documents(rows)).collect()}
+    assert found == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
+
+
 @pytest.mark.parametrize("id_bytes", [16, 1])
 def test_recipes(documents, id_bytes):
     rows = texts() + [(500, "a" * 40_000 + "b"), (501, "a" * 40_000 + "c"), (502, "a" * 40_000 + "b")]

@@ -333,17 +333,31 @@ def near_components(
 # --- near duplicates of a similarity ---------------------------------------------
 
 SIMILARITY = 0.8
-WIDE = 4  # 64-bit words of the fingerprint that decides
+WIDE = 4  # 64-bit words of the fingerprint that prunes
+# Bits beyond the mean at the similarity that a pair may differ in and still be verified;
+# the standard deviation is about 6.5 bits.
+MARGIN = 44
+
+
+def shingle_counts(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All shingle hashes of a text, the distinct ones and how often each occurs."""
+    every = np.concatenate([np.empty(0, np.uint64), *shingle_hashes(data, size)])
+    return every, *np.unique(every, return_counts=True)
+
+
+def counts_digest(distinct: np.ndarray, counts: np.ndarray) -> int:
+    """64 bits that tell shingle counts apart."""
+    with np.errstate(over="ignore"):
+        total = (mixed(distinct, 101) * counts.astype(np.uint64)).sum(dtype=np.uint64, keepdims=True)
+    return int(mixed(total, 102).view(np.int64)[0])
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, u, s): 64 bits over the distinct words of each whole text, and 256 bits over
-    its shingles."""
+    """(doc_id, g, q, u, s): a digest of the shingle counts, the sum of their squares, 64 bits
+    over the distinct words of each whole text, and 256 bits over its shingles."""
     from pyspark.sql import types as T
 
-    schema = T.StructType(
-        [docs.schema["doc_id"], T.StructField("u", T.LongType()), *[T.StructField(f"s{i}", T.LongType()) for i in range(WIDE)]]
-    )
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in ("g", "q", "u", *SHINGLE_BITS)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -353,56 +367,103 @@ def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
                 data = text.as_buffer().to_pybytes().translate(LOWER) if text.is_valid else b""
                 digests = [xxhash.xxh64_intdigest(w, SEED) for w in {w for run_ in word_runs(data) for w in run_}]
                 of_words.add(np.array(digests, np.uint64))
-                for hashes in shingle_hashes(data, shingle):
-                    of_shingles.add(hashes)
-                rows.append([of_words.value()[0], *of_shingles.value()])
-            columns = np.array(rows, np.int64).reshape(-1, 1 + WIDE).T
+                every, distinct, counts = shingle_counts(data, shingle)
+                of_shingles.add(every)
+                square = int((counts.astype(np.int64) ** 2).sum())
+                rows.append([counts_digest(distinct, counts), square, of_words.value()[0], *of_shingles.value()])
+            columns = np.array(rows, np.int64).reshape(-1, 3 + WIDE).T
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(c)) for c in columns]], schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def shingle_rows(texts: DataFrame, shingle: int) -> DataFrame:
+    """(g, h, c): how often each shingle occurs, of the texts whose digest is g."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            for g, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = text.as_buffer().to_pybytes().translate(LOWER) if text.is_valid else b""
+                _, distinct, counts = shingle_counts(data, shingle)
+                if counts_digest(distinct, counts) != g:
+                    continue  # another text under the same doc_id
+                for at in range(0, len(distinct), 65_536):
+                    h, c = distinct[at : at + 65_536].view(np.int64), counts[at : at + 65_536].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), g, np.int64)), pa.array(h), pa.array(c)], ["g", "h", "c"])
+
+    return texts.select("g", "text").mapInArrow(run, "g bigint, h bigint, c bigint")
+
+
+SHINGLE_BITS = [f"s{i}" for i in range(WIDE)]
+SIDE = ["v", "g", "m", "q"]  # what a candidate pair knows of each of its two groups
+
+
 def wide_distance(a: str, b: str) -> Column:
-    out = F.lit(0)
-    for i in range(WIDE):
-        out = out + distance(f"{a}.s{i}", f"{b}.s{i}")
-    return out
+    return sum((distance(f"{a}.{s}", f"{b}.{s}") for s in SHINGLE_BITS), F.lit(0))
+
+
+def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): the documents of those pairs whose shingle counts have that cosine similarity.
+
+    `pairs` has structs x and y of SIDE. The product of two texts is added up over the
+    shingles that both have; m equal rows of a doc_id count m times in it.
+    """
+    pairs = checkpointed(pairs.select("x", "y").distinct())
+    wanted = pairs.select("x.v", "x.g").union(pairs.select("y.v", "y.g")).distinct()
+    texts = docs.select(F.col("doc_id").alias("v"), "text").join(wanted, "v")
+    counted = shingle_rows(texts, shingle)
+    ids = pairs.select(F.col("x.g").alias("xg"), F.col("y.g").alias("yg"))
+    # the smaller document may be in many pairs: it meets them shingle by shingle
+    of_y = counted.select(F.col("g").alias("yg"), "h", F.col("c").alias("yc")).join(ids, "yg")
+    of_x = counted.select(F.col("g").alias("xg"), "h", F.col("c").alias("xc"))
+    products = of_y.join(of_x, ["xg", "h"]).groupBy("xg", "yg").agg(F.sum(F.col("xc") * F.col("yc")).alias("product"))
+    known = pairs.withColumn("xg", F.col("x.g")).withColumn("yg", F.col("y.g")).join(products, ["xg", "yg"])
+    times = F.col("x.m").cast("double") * F.col("y.m")
+    least = similarity * F.sqrt(F.col("x.q").cast("double") * F.col("y.q")) * times
+    # a similarity of just that value is not lost to rounding
+    linked = known.where(F.col("product") * (1 + 1e-12) >= least)
+    return linked.select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct()
 
 
 def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) of each document with a doc_id.
 
-    Two documents are linked when the cosine similarity of their shingle counts, as their
-    256-bit fingerprints estimate it, is at least `similarity`: 52 bits or fewer differ at
-    0.8. Such fingerprints are too far apart for keys, so documents meet by a second
+    Two documents are linked when the cosine similarity of their shingle counts is at least
+    `similarity`. It is computed for pairs that meet by a key and whose 256-bit fingerprints
+    over shingles differ in at most MARGIN bits more than the mean at that similarity: 96
+    bits at 0.8. Such fingerprints are too far apart for keys, so documents meet by a second
     fingerprint over distinct words, which one changed word moves much less: its segments
     are decoded to all codewords within 4 bits, and documents meet where two segments
-    differ in up to two bits each.
+    differ in up to two bits each. Texts with equal shingle counts are one group.
 
     Links to the smallest document of a key come first; from then on only pairs of different
     components are compared, so dense groups do not emit their pairs.
     """
-    most = int(256 * np.arccos(similarity) / np.pi)
-    rows = checkpointed(wide_fingerprints(docs.where(F.col("doc_id").isNotNull()), shingle))
-    bits = ["u", *[f"s{i}" for i in range(WIDE)]]
-    groups = checkpointed(rows.groupBy(*bits).agg(F.min("doc_id").alias("v"), F.count("*").alias("n")))
+    most = int(256 * np.arccos(similarity) / np.pi) + MARGIN
+    docs = docs.where(F.col("doc_id").isNotNull())
+    rows = checkpointed(wide_fingerprints(docs, shingle))
+    bits = ["u", *SHINGLE_BITS]
+    same = rows.groupBy("g", "doc_id").agg(F.count("*").alias("m"), F.min(F.struct("q", *bits)).alias("of"))
+    least = same.groupBy("g").agg(F.min(F.struct("doc_id", "m", "of")).alias("low"), F.sum("m").alias("n"))
+    groups = checkpointed(least.select(F.col("low.doc_id").alias("v"), "g", "low.m", "low.of.*", "n"))
+    side = lambda of: F.struct(*[F.col(f"{of}.{c}").alias(c) for c in SIDE])
 
     near = checkpointed(keyed(groups.drop("n"), "nearest", "u"))
-    least = near.groupBy("key").agg(F.min(F.struct("v", *bits[1:])).alias("low"), F.count("*").alias("n_key"))
-    stars = join_groups(near, checkpointed(least.where("n_key > 1")), "key", "n_key").where("low.v < v").alias("b")
-    close = sum((F.bit_count(F.col(f"b.s{i}").bitwiseXOR(F.col(f"b.low.s{i}"))) for i in range(WIDE)), F.lit(0)) <= most
-    first = checkpointed(stars.where(close).select(F.col("b.low.v").alias("a"), F.col("b.v").alias("b")).distinct())
+    lowest = near.groupBy("key").agg(F.min(F.struct(*SIDE, *SHINGLE_BITS)).alias("low"), F.count("*").alias("n_key"))
+    stars = join_groups(near, checkpointed(lowest.where("n_key > 1")), "key", "n_key").where("low.v < v").alias("b")
+    close = sum((F.bit_count(F.col(f"b.{s}").bitwiseXOR(F.col(f"b.low.{s}"))) for s in SHINGLE_BITS), F.lit(0)) <= most
+    met = stars.where(close).select(side("b.low").alias("x"), side("b").alias("y"))
+    first = checkpointed(verified(docs, met, shingle, similarity))
 
     roots = components(first)
-    marked = groups.join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("c"), *bits)
+    marked = groups.drop("n").join(roots, "v", "left").withColumn("c", F.coalesce("root", "v")).drop("root")
     every = keyed(checkpointed(marked), "both", "u").drop("u")
     x, y = every.alias("x"), every.alias("y")
-    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.v") < F.col("y.v")) & (F.col("x.c") != F.col("y.c"))
-    second = x.join(y, met & (wide_distance("x", "y") <= most)).select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
-    joined = components(first.union(second))
-    named = groups.join(joined, "v", "left").select(F.struct(*bits).alias("bits"), "n", F.coalesce("root", "v").alias("component_id"))
-    keyed_rows = rows.select("doc_id", F.struct(*bits).alias("bits"))
-    return join_groups(keyed_rows, checkpointed(named), "bits", "n").select("doc_id", "component_id")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.v") < F.col("y.v")) & (F.col("x.c") != F.col("y.c"))
+    met = x.join(y, apart & (wide_distance("x", "y") <= most)).select(side("x").alias("x"), side("y").alias("y"))
+    joined = components(first.union(verified(docs, met, shingle, similarity)))
+    named = groups.join(joined, "v", "left").select("g", "n", F.coalesce("root", "v").alias("component_id"))
+    return join_groups(rows.select("doc_id", "g"), checkpointed(named), "g", "n").select("doc_id", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
