@@ -126,6 +126,18 @@ def test_similar_pairs_are_verified(documents):
     assert len(missed) <= 0.1 * sum(c >= 0.8 for c in of)
 
 
+@pytest.mark.parametrize("kind", ["append", "cut", "edit"])
+def test_similar_pairs_are_found(documents, kind):
+    shares = {"append": (0.1, 0.5), "cut": (0.1, 0.35), "edit": (0.01, 0.03)}[kind]
+    made = list(versions(200, 31, [(kind, shares[0] + (shares[1] - shares[0]) * k / 9) for k in range(10)]))
+    of = [cosine(*map(five_word_counts, pair)) for pair in made]
+    rows = [(2 * i + k, text) for i, pair in enumerate(made) for k, text in enumerate(pair)]
+    found = {r.doc_id: r.component_id for r in simhash.similar_components(documents(rows)).collect()}
+    alike = [i for i, c in enumerate(of) if c >= 0.8]
+    assert len(alike) > 150
+    assert sum(found[2 * i + 1] == 2 * i for i in alike) >= 0.99 * len(alike)
+
+
 def test_similarity_of_just_the_threshold_and_rows_that_repeat(documents):
     one, four = "a b c d e", "a b c d e f g h i"  # four: five shingles, one of them that of `one`
     nine = "a b c d e f g h x"  # four of these five are those of `four`
