@@ -167,6 +167,33 @@ def test_kept_rows_are_one_for_each_text(documents):
     assert sorted(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in kept) == sorted(plain)
 
 
+def test_repeats_where_stretches_meet(documents):
+    rng = random.Random(12)
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=300_000))
+    begins = range(repeats.STRETCH - 150, repeats.STRETCH + 50)
+    later = [(10 + i, long[b : b + 100]) for i, b in enumerate(begins)]
+    earlier = [(i + 1, "".join(rng.choices("0123456789", k=50)) + long[b : b + 100]) for i, b in enumerate(begins[::100])]
+    found = {r.doc_id: r.n_removed for r in repeats.without_repeats(documents([*earlier, (5, long), *later])).collect()}
+    assert found == {1: 0, 2: 0, 5: 200} | {i: 100 for i, _ in later}
+
+
+@pytest.mark.parametrize("options", [{}, {"hot_anchors": 3}])
+def test_repeats_in_small_stretches(documents, options):
+    rng = random.Random(14)
+    whole = "".join(rng.choices("abcd", k=600))
+    rows = [(0, whole)] + [(1 + i, "-" * (i % 3) + whole[b : b + 24 + i % 30] + str(i)) for i, b in enumerate(range(0, 570, 3))]
+    least, seen, want = 24, set(), {}
+    for i, text in rows:
+        covered = bytearray(len(text))
+        for s in range(len(text) - least + 1):
+            if text[s : s + least] in seen:
+                covered[s : s + least] = b"\1" * least
+            seen.add(text[s : s + least])
+        want[i] = "".join(x for x, c in zip(text, covered) if not c)
+    found = repeats.without_repeats(documents(rows), least, gram=8, stretch=40, **options).collect()
+    assert {r.doc_id: bytes(r.kept).decode() for r in found} == want
+
+
 @pytest.mark.parametrize("options", [{}, {"hot_anchors": 3}, {"held": 40}])
 def test_repeats(documents, options):
     rows = [(i, t) for i, t in texts() if i is not None]

@@ -79,10 +79,10 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
 class Anchors:
     """Finds the anchors of texts; powers of the hash base are kept for all of them."""
 
-    def __init__(self, least: int, gram: int) -> None:
-        self.least, self.gram, self.width = least, gram, least - gram + 1
+    def __init__(self, least: int, gram: int, stretch: int = STRETCH) -> None:
+        self.least, self.gram, self.width, self.stretch = least, gram, least - gram + 1, stretch
         with np.errstate(over="ignore"):
-            n = STRETCH + 2 * least
+            n = stretch + 2 * least
             one = np.ones(1, np.uint64)
             self.powers = np.concatenate([one, np.cumprod(np.full(n, BASE, np.uint64))])
             inverse = np.uint64(pow(BASE, -1, 1 << 64))
@@ -90,8 +90,8 @@ class Anchors:
 
     def of(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(hash, place, smallest and largest offset of the windows it stands for)."""
-        for start in range(0, max(len(data) - self.least + 1, 0), STRETCH):
-            part = data[start : start + STRETCH + self.least - 1]
+        for start in range(0, max(len(data) - self.least + 1, 0), self.stretch):
+            part = data[start : start + self.stretch + self.least - 1]
             h = gram_hashes(part, self.gram, self.powers, self.inverses)
             at = window_minima(h, self.width)
             runs = np.nonzero(np.concatenate([[True], at[1:] != at[:-1]]))[0]
@@ -100,7 +100,7 @@ class Anchors:
             yield h[place], place + start, place - last, place - runs
 
 
-def anchor_rows(texts: DataFrame, least: int, gram: int, buckets: int, held: int) -> DataFrame:
+def anchor_rows(texts: DataFrame, least: int, gram: int, buckets: int, held: int, stretch: int) -> DataFrame:
     """(bucket, anchors, owners): packed anchors, dealt by hash.
 
     A hash that a task sees twice is known to repeat. All its anchors but one are then
@@ -126,7 +126,7 @@ def anchor_rows(texts: DataFrame, least: int, gram: int, buckets: int, held: int
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Anchors(least, gram)
+        finder = Anchors(least, gram, stretch)
         hashes: list[np.ndarray] = []
         found: list[np.ndarray] = []
         seen: set[int] = set()
@@ -152,21 +152,24 @@ def anchor_rows(texts: DataFrame, least: int, gram: int, buckets: int, held: int
     return texts.select("t", "text").mapInArrow(run, "bucket bigint, anchors binary, owners binary")
 
 
-def repeated_anchors(texts: DataFrame, least: int, gram: int, buckets: int, held: int) -> DataFrame:
+def repeated_anchors(texts: DataFrame, least: int, gram: int, buckets: int, held: int, stretch: int) -> DataFrame:
     """(h, t, pos, lo, hi): anchors whose hash has another anchor; h is bucket and hash."""
 
     def run(group: pa.Table) -> pa.Table:
         bucket = group["bucket"][0].as_py()
         anchors = np.concatenate([np.frombuffer(b.as_buffer(), ANCHOR) for c in group["anchors"].chunks for b in c])
         if bucket < buckets:
-            anchors = anchors[np.lexsort((anchors["pos"], anchors["t"], anchors["h"]))]
+            windows = anchors["hi"] & np.uint8(KNOWN - 1)
+            anchors = anchors[np.lexsort((windows, anchors["lo"], anchors["pos"], anchors["t"], anchors["h"]))]
             owner = np.full(len(anchors), bucket, np.int64)
             same = anchors["h"][1:] == anchors["h"][:-1]
-            copy = same & (anchors["t"][1:] == anchors["t"][:-1]) & (anchors["pos"][1:] == anchors["pos"][:-1])
+            place = same & (anchors["t"][1:] == anchors["t"][:-1]) & (anchors["pos"][1:] == anchors["pos"][:-1])
+            windows = anchors["hi"] & np.uint8(KNOWN - 1)
+            copy = place & (anchors["lo"][1:] == anchors["lo"][:-1]) & (windows[1:] == windows[:-1])
             known = anchors["hi"] >= KNOWN
             starts = np.nonzero(np.concatenate([[True], ~same]))[0]
             sizes = np.diff(np.concatenate([starts, [len(anchors)]]))
-            distinct = np.add.reduceat(np.concatenate([[True], ~copy]).astype(int), starts)
+            distinct = np.add.reduceat(np.concatenate([[True], ~place]).astype(int), starts)
             repeated = (distinct > 1) | np.logical_or.reduceat(known, starts)
             chosen = np.repeat(repeated, sizes) & np.concatenate([[True], ~copy])
             anchors, owner = anchors[chosen], owner[chosen]
@@ -182,7 +185,7 @@ def repeated_anchors(texts: DataFrame, least: int, gram: int, buckets: int, held
             }
         )
 
-    rows = anchor_rows(texts, least, gram, buckets, held)
+    rows = anchor_rows(texts, least, gram, buckets, held, stretch)
     return rows.groupBy("bucket").applyInArrow(run, "h bigint, t bigint, pos int, lo int, hi int")
 
 
@@ -320,7 +323,9 @@ def tree_repeats(contexts: DataFrame, least: int, gram: int) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         heads, data, at = unpacked(group)
-        _, one = np.unique(heads[:, [0, 1, 2, 3]], axis=0, return_index=True)  # repeated rows
+        # repeated rows; an anchor has one row for its windows on each side of a stretch's end,
+        # which share fewer than `least` bytes and so no repeat
+        _, one = np.unique(heads, axis=0, return_index=True)
         heads, at = heads[one], at[one]
         h, doc, t, pos, n_left, n = heads.T
         n_right = n - n_left
@@ -406,7 +411,8 @@ def identified(docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
 
 
 def repeat_groups(
-    docs: DataFrame, least: int = LEAST, gram: int = GRAM, hot_anchors: int = HOT_ANCHORS, held: int = HELD
+    docs: DataFrame, least: int = LEAST, gram: int = GRAM, hot_anchors: int = HOT_ANCHORS, held: int = HELD,
+    stretch: int = STRETCH,
 ) -> tuple[DataFrame, DataFrame]:
     """(first copies, occurrences): the first document (doc, t) of each text, and every
     occurrence of every maximal repeat in them as (group, doc, t, start, length, earliest).
@@ -421,7 +427,7 @@ def repeat_groups(
     firsts = checkpointed(texts.groupBy("t").agg(F.min("doc").alias("doc"), F.max(F.octet_length("text")).alias("bytes")))
     total = firsts.agg(F.sum("bytes").alias("n")).first()
     buckets = partitions_for((total and total.n) or 0, BUCKET_BYTES, 8)
-    anchors = checkpointed(repeated_anchors(texts, least, gram, buckets, held))
+    anchors = checkpointed(repeated_anchors(texts, least, gram, buckets, held, stretch))
     n = anchors.count()
     hot = checkpointed(anchors.groupBy("h").agg(F.count("*").alias("n_h")).where(F.col("n_h") > hot_anchors))
 
