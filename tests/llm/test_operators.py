@@ -290,6 +290,21 @@ def test_url_rules(spark):
     assert got[len(urls) - 2][3] == "block" and got[len(urls) - 1][3] == "allow"
 
 
+def test_path_is_the_one_behind_the_first_host(spark):
+    want = {
+        "http://example.com?next=http://x.org/de/a": ("example.com", "", None),
+        "https://a.org#x://b/fr/": ("a.org", "", None),
+        "http://Example.com/de/?u=http://x.org/fr/": ("example.com", "/de/", "example.com/de/"),
+        "x/y://b.org/fr/1\n2?q#/": ("b.org", "/fr/1\n2", "org/fr/"),
+        "http://?a=://c.org/fr/": ("", "", None),
+        "http://": ("", "", None),
+        ":///p/q": ("", "/p/q", None),
+    }
+    pages = spark.createDataFrame(list(enumerate(want)), "page_id bigint, url string")
+    got = {r.page_id: (r.host, r.path, r.rule) for r in urlrules.judged(pages, URL_RULES).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
 def test_words_advance_together_as_one_by_one():
     rng = random.Random(5)
     table = {bytes([b]): (rng.random() * 1e-6, rng.random()) for b in b"abc"}

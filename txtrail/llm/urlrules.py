@@ -34,14 +34,21 @@ class Listed:
         return self.host + self.path
 
 
+def after_scheme(url: Column) -> Column:
+    """What follows the first ://; null if there is none."""
+    at = F.locate("://", url)
+    return F.when(at > 0, F.substr(url, at + 3))
+
+
 def host_of(url: Column) -> Column:
     """After the first :// up to a slash, question mark or hash, A-Z in lower case."""
-    rest = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    return F.coalesce(F.translate(rest, UPPER, LOWER), F.lit(""))
+    host = F.regexp_extract(after_scheme(url), r"^([^/?#]*)", 1)
+    return F.coalesce(F.translate(host, UPPER, LOWER), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    """From the slash right behind the host up to a question mark or hash; empty without it."""
+    return F.coalesce(F.regexp_extract(after_scheme(url), r"^[^/?#]*(/[^?#]*)", 1), F.lit(""))
 
 
 def fits(rule: Listed, host: Column, path: Column) -> Column:
