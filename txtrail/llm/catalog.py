@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txtrail.llm import bpe, langid, maxscore, packing, quality, recipes, repeats, simhash, toxicity, urlrules
+from txtrail.llm import bpe, langid, maxscore, mixing, packing, quality, recipes, repeats, resampling, simhash, toxicity, urlrules
+from txtrail.llm import oracle
 from txtrail.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(oracle.ORACLE)
 
 TOKENIZER = "byte_bpe_50k.json"
 LANGUAGE_PIECES = "byte_bpe_multi_50k.tiktoken"
@@ -121,3 +122,13 @@ def op10_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.without_repeats(table(spark, sf_dir, "documents"))
     digest = F.sha2("kept", 256).alias("kept_sha256")
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", digest)
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))

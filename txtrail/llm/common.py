@@ -7,10 +7,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from txtrail.session import checkpointed
+from txtrail.session import checkpointed, new_folder
 
 # A group is hot from this share of all rows on; there are at most 1 / HOT_SHARE hot groups.
 HOT_SHARE = 1 / 256
@@ -55,6 +55,34 @@ def partitions_for(rows: int, rows_each: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / rows_each))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, with no lineage behind them."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Each row with its place in `order` as column `name`, from 0, without gaps.
+
+    Rows are dealt out by ranges of `order` and sorted inside a range; a range starts where
+    the ones before it end, so no task sees more than its own range. Rows that `order` does
+    not tell apart get places next to each other.
+    """
+    placed = stored(
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()),
+        name,
+    )
+    # the id holds the number of the range above 33 bits with the place inside it
+    part, inside = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    # one row for each range
+    joined = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return joined.select(*df.columns, (F.col("_start") + inside).alias(name))
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """Each row with the columns of its group; `groups` has one row per key and its row count.
 
