@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txtrail.llm import bpe, langid, maxscore, mixing, packing, quality, recipes, repeats, resampling, simhash, toxicity, urlrules
+from txtrail.llm import bpe, langid, maxscore, mixing, packing, prefixtrie, quality, recipes, repeats, resampling, simhash, toxicity, urlrules
 from txtrail.llm import oracle
 from txtrail.llm.common import held_out, table
 
@@ -129,6 +129,11 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))

@@ -97,3 +97,40 @@ SELECT doc_id, size, source_size, target,
        whole * size + greatest(0, least(size, words - whole * source_size - start)) AS taken
 FROM x
 """
+
+# A node is the list of its turns; its totals come to it from the rows of each node's smallest member.
+ORACLE["op12_conversation_trie"] = f"""
+WITH {CRC_TABLE}, o AS (
+    SELECT conv_id, list((coalesce(role, ''), coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+    SELECT o.conv_id, o.t, coalesce(b.t, []) AS base, {crc32("CAST(o.conv_id AS VARCHAR)")} % 6 AS h
+    FROM crc, o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 100
+), r AS (
+    SELECT conv_id, list_concat(base[1:h], t[h + 1:]) AS t FROM h
+), p AS (
+    SELECT conv_id, len(t) AS length, unnest(range(0, len(t) + 1)) AS depth, t FROM r
+), k AS (
+    SELECT conv_id, length, depth, md5(CAST(t[1:depth] AS VARCHAR)) AS node,
+           CASE WHEN depth > 0 THEN md5(CAST(t[1:depth - 1] AS VARCHAR)) END AS parent,
+           CASE WHEN depth > 0 THEN length(t[depth][2]) ELSE 0 END AS chars
+    FROM p
+), n AS (
+    SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, min(parent) AS parent, max(chars) AS chars,
+           coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (length = depth), '') AS ends
+    FROM k GROUP BY depth, node
+), c AS (
+    SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL
+), s AS (
+    SELECT k.depth, k.node, CAST(sum((n.n_convs - 1) * n.chars) AS BIGINT) AS saved_tokens,
+           count(*) FILTER (c.n_children IS NULL) AS n_leaves
+    FROM n LEFT JOIN c ON c.depth = n.depth AND c.node = n.node
+    JOIN k ON k.conv_id = n.conv_id AND k.depth <= n.depth
+    GROUP BY k.depth, k.node
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs,
+       coalesce(c.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN s ON s.depth = n.depth AND s.node = n.node
+LEFT JOIN c ON c.depth = n.depth AND c.node = n.node
+LEFT JOIN n u ON u.depth = n.depth - 1 AND u.node = n.parent
+"""
