@@ -181,7 +181,7 @@ def test_jobs_run_until_stopped(spark, options):
     send_events(spark, options, "a")
     queries = txtrail.run(spark, options)
     try:
-        assert sorted(q.name for q in queries) == ["ingest", "online", "reconcile"]
+        assert sorted(q.name for q in queries) == ["ingest", "online", "reconcile", "upkeep"]
         queries[0].processAllAvailable()
         send_tx(spark, options, ("a", "1.."), ("b", "1.."))
         queries[1].processAllAvailable()

@@ -104,9 +104,11 @@ def test_closed_day_has_the_same_rows_in_narrow_files(spark, tmp_path):
     assert len(ranges) == 3
     bounds = sorted((r[1], r[2]) for r in ranges)
     assert all(bounds[i][1] <= bounds[i + 1][0] for i in range(2))
-    # upkeep removes the replaced folders and closes the next day
+    # the next closing leaves the closed day alone
     assert jobs.close_days_before(spark, options, "20240303") == ["20240302"]
-    assert tables.open_days(spark, path) == ["20240302"]
+    assert tables.open_days(spark, path) == []
+    assert tables.vacuum(spark, path, keep_hours=1) == []
+    assert tables.vacuum(spark, path, keep_hours=0) == ["20240301", "20240302"]
     again = tables.read_events(spark, options.store)
     assert again.exceptAll(before).isEmpty() and again.count() == 400
     before.unpersist()
@@ -129,7 +131,7 @@ def test_closed_day_takes_later_batches(spark, tmp_path):
     assert jobs.close_days_before(spark, options, "20240302") == ["20240301"]
     assert sizes() == {"a": 10, "b": 20}
     tables.append_events(stored(spark, 30), options.store, "c", "UTC")
-    assert tables.drop_closed(spark, path) == ["20240301"]
+    assert tables.vacuum(spark, path, 0) == ["20240301"]
     assert sizes() == {"a": 10, "b": 20, "c": 30}
     assert tables.open_days(spark, path) == ["20240301"]
     # the replay of a batch that is closed changes nothing
@@ -140,7 +142,7 @@ def test_closed_day_takes_later_batches(spark, tmp_path):
 def test_unfinished_rewrite_is_not_read(spark, tmp_path):
     store = str(tmp_path)
     tables.append_events(stored(spark), store, "1", "UTC")
-    (tmp_path / "binlog_event_closed" / "day=20240301").mkdir(parents=True)
+    tables.compact(tables.read_events(spark, store), str(tmp_path / "binlog_event" / "attempt=x" / "day=20240301"))
     assert tables.read_events(spark, store).count() == 100
 
 
@@ -206,10 +208,10 @@ def test_retention(spark, tmp_path):
         tables.read_events(spark, options.store), tables.read_tx_versions(spark, options.store), options, as_of
     )
     assert [df.count() for df in kept] == [10, 20]
-    assert jobs.drop_expired(spark, options, as_of) == {"day": ["20240101"], "month": []}
+    assert jobs.drop_expired(spark, options, as_of) == {"day": ["20240101"], "record_day": [], "month": []}
     assert tables.read_events(spark, options.store).count() == 20
     later = dt.datetime(2024, 5, 1, tzinfo=UTC)
-    assert jobs.drop_expired(spark, options, later) == {"day": ["20240131", "20240301"], "month": ["202401"]}
+    assert jobs.drop_expired(spark, options, later) == {"day": ["20240131", "20240301"], "record_day": [], "month": ["202401"]}
     assert tables.read_tx_versions(spark, options.store).count() == 10
 
 

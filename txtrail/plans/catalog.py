@@ -24,7 +24,7 @@ from txtrail.operators import snapshots, state
 from txtrail.options import EXPECTED_COUNT, QUIESCENT, TopicOptions, TrailOptions
 from txtrail.plans import fixtures as fx
 from txtrail.plans import reports
-from txtrail.plans.jobs import backfill, close_days_before
+from txtrail.plans.jobs import backfill, close_days_before, upkeep
 from txtrail.session import new_folder
 from txtrail.sources import bulk_text, handlers, tables, topics
 from txtrail.streaming import ingest, online, reconcile
@@ -642,6 +642,32 @@ def stored_late_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored_sizes(spark, store)
 
 
+@query
+def stored_replay_after_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An online batch that ran over half of the events, whose days were closed, runs again.
+
+    Records are counted as they are stored, so one that is there twice or lost shows.
+    """
+    store = new_folder(spark, "store")
+    options = TrailOptions(store, f"{store}/checkpoints", time_zone="UTC", polls=0, tx_days=90)
+    ingested = F.lit("2024-03-01 12:00:00 UTC").cast("timestamp")
+    events = projections.to_stored_event(fx.envelopes(spark, sf_dir), ingested)
+    tx = fx.notices(spark, sf_dir).withColumn("time", F.timestamp_seconds("time"))
+    odd = F.crc32(F.col("gtid").cast("binary")) % 2 == 1
+    for batch, some in (("a", events.where(odd)), ("b", events.where(~odd))):
+        tables.append_events(some, store, batch, "UTC", merge=True)
+        online.process_tx_batch(spark, options, tx, 7, None, query="q")
+        upkeep(spark, options, dt.datetime(2024, 3, 2, tzinfo=UTC))
+    latest = state.latest_versions(tables.read_tx_versions(spark, store))
+    sizes = tables.read_audit(spark, store).groupBy("gtid").agg(F.sum(F.size("events")).alias("n_events"))
+    return latest.join(sizes, "gtid", "left").select(
+        "gtid",
+        "context",
+        F.col("status").cast("int").alias("status"),
+        F.coalesce("n_events", F.lit(0).cast("bigint")).alias("n_events"),
+    )
+
+
 def _backfill_by_flag(spark: SparkSession, sf_dir: str, store: str, odd: int) -> None:
     """The even or the odd transactions; both halves together are all of them."""
     tx = fx.notices(spark, sf_dir)

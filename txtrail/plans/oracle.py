@@ -471,6 +471,7 @@ ORACLE = {
         """SELECT db, "table", action, gtid, data, CAST(epoch("time") AS BIGINT) AS event_seconds
            FROM binlog_event""",
     ),
+    "stored_replay_after_close": _with(_BOTH, _OUTCOME),
     "stream_audit": _with(_BOTH, _OUTCOME),
     "stream_reconcile": _with(_BOTH, _OUTCOME),
     "stream_outer_join": _with(

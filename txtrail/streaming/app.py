@@ -14,7 +14,7 @@ from txtrail.sources.handlers import Handler
 from txtrail.sources.tables import read_audit, read_events, read_tx_versions
 from txtrail.streaming.ingest import start_ingest
 from txtrail.streaming.online import start_online
-from txtrail.streaming.reconcile import start_reconcile
+from txtrail.streaming.reconcile import start_reconcile, start_upkeep
 
 
 @dataclass(frozen=True)
@@ -23,12 +23,13 @@ class Trail:
     options: TrailOptions
 
     def run(self, handler: Handler | None = None) -> list[StreamingQuery]:
-        """Starts the three jobs; they run until stopped."""
-        return [
+        """Starts the jobs; they run until stopped."""
+        jobs = [
             start_ingest(self.spark, self.options),
             start_online(self.spark, self.options, handler),
             start_reconcile(self.spark, self.options, handler),
         ]
+        return jobs + ([start_upkeep(self.spark, self.options)] if self.options.upkeep_interval else [])
 
     def run_available(self, handler: Handler | None = None) -> None:
         """Works through what the topics hold now: events first, then transactions."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from txtrail.operators.projections import to_stored_tx
 from txtrail.operators.state import pending_notices
 from txtrail.options import TrailOptions
+from txtrail.plans.jobs import upkeep
 from txtrail.schemas import STATUS_PROCESSED
 from txtrail.sources.handlers import Handler, deliver
 from txtrail.sources.tables import append_tx, read_tx_versions
@@ -62,18 +64,41 @@ def start_reconcile(
     handler: Handler | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Runs `reconcile_once` on a clock; the clock rows themselves are not used."""
+    """Runs `reconcile_once` on a clock."""
 
     def process(_: DataFrame, batch_id: int) -> None:
         reconcile_once(spark, options, batch_id, handler)
 
+    return _on_a_clock(spark, options, "reconcile", process, trigger, options.recheck_interval)
+
+
+def start_upkeep(
+    spark: SparkSession, options: TrailOptions, trigger: dict | None = None
+) -> StreamingQuery:
+    """Runs `jobs.upkeep` on a clock, beside the other jobs."""
+
+    def process(_: DataFrame, batch_id: int) -> None:
+        upkeep(spark, options)
+
+    return _on_a_clock(spark, options, "upkeep", process, trigger, options.upkeep_interval)
+
+
+def _on_a_clock(
+    spark: SparkSession,
+    options: TrailOptions,
+    name: str,
+    process: Callable[[DataFrame, int], None],
+    trigger: dict | None,
+    interval: float,
+) -> StreamingQuery:
+    """The clock rows themselves are not used."""
     return (
         spark.readStream.format("rate")
         .option("rowsPerSecond", 1)
         .load()
-        .writeStream.queryName("reconcile")
+        .writeStream.queryName(name)
         .foreachBatch(process)
-        .option("checkpointLocation", f"{options.checkpoints}/reconcile")
-        .trigger(**(trigger or {"processingTime": f"{options.recheck_interval} seconds"}))
+        .option("checkpointLocation", f"{options.checkpoints}/{name}")
+        .trigger(**(trigger or {"processingTime": f"{interval} seconds"}))
         .start()
     )
