@@ -27,7 +27,7 @@ from txtrail.plans import reports
 from txtrail.plans.jobs import backfill, close_days_before, upkeep
 from txtrail.session import new_folder
 from txtrail.sources import bulk_text, handlers, tables, topics
-from txtrail.streaming import ingest, online, reconcile
+from txtrail.streaming import ingest, keyed, online, reconcile
 from txtrail.streaming import joins as stream_joins
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -791,6 +791,43 @@ def stream_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_outcome(spark, options.store)
 
 
+KEYED_MESSAGES = T.StructType(
+    [
+        T.StructField("gtid", T.StringType()),
+        T.StructField("context", T.StringType()),
+        T.StructField("time", T.TimestampType()),
+        T.StructField("arrived", T.TimestampType()),
+    ]
+)
+
+
+@query
+def stream_online_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All notices, events of odd transactions in time, the others after the grace, then nothing
+    until the lookback has passed; the query stops and starts again in between."""
+    folder = new_folder(spark, "stream")
+    tx = fx.notices(spark, sf_dir).withColumn("time", F.timestamp_seconds("time"))
+    events = fx.envelopes(spark, sf_dir).select("gtid")
+    odd = F.substring_index("gtid", ":", -1).cast("bigint") % 2 == 1
+
+    def arrived(df: DataFrame, at: str) -> DataFrame:
+        return df.withColumn("arrived", F.lit(f"2024-03-0{at} UTC").cast("timestamp"))
+
+    clock = spark.createDataFrame([("clock",)], "gtid string")
+    steps = [
+        keyed.messages(arrived(tx, "1 12:00:00"), arrived(events.where(odd), "1 12:00:00")),
+        keyed.messages(arrived(tx.limit(0), "1 12:00:00"), arrived(clock, "1 12:10:00")),
+        keyed.messages(arrived(tx.limit(0), "1 12:00:00"), arrived(events.where(~odd), "1 13:00:00")),
+        keyed.messages(arrived(tx.limit(0), "1 12:00:00"), arrived(clock, "5 12:00:00")),
+    ]
+    for n, step in enumerate(steps):
+        step.repartition(8).write.mode("append").parquet(f"{folder}/messages/{n}")
+        stream = spark.readStream.schema(KEYED_MESSAGES).parquet(f"{folder}/messages/*")
+        decided = drained(keyed.outcomes(stream), folder)
+    # the id of the clock is no transaction
+    return decided.where(F.col("gtid") != "clock").select("gtid", "context", "outcome", "n_events")
+
+
 def timed_stream(
     df: DataFrame, folder: str, time: str, schema: T.StructType
 ) -> DataFrame:

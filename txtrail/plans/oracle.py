@@ -474,6 +474,16 @@ ORACLE = {
     "stored_replay_after_close": _with(_BOTH, _OUTCOME),
     "stream_audit": _with(_BOTH, _OUTCOME),
     "stream_reconcile": _with(_BOTH, _OUTCOME),
+    "stream_online_state": _with(
+        _BOTH,
+        """SELECT gtid, context, outcome, CASE WHEN outcome = 'record' THEN n_events ELSE 0 END AS n_events
+           FROM (SELECT gtid, context, n_events, unnest(CASE
+                   WHEN n_events = 0 THEN ['pending', 'expired']
+                   WHEN CAST(split_part(gtid, ':', -1) AS BIGINT) % 2 = 1 THEN ['record']
+                   ELSE ['pending', 'record'] END) AS outcome
+                 FROM (SELECT t.gtid, t.context, count(e.gtid) AS n_events
+                       FROM tx_info t LEFT JOIN binlog_event e ON e.gtid = t.gtid GROUP BY t.gtid, t.context, t."time"))""",
+    ),
     "stream_outer_join": _with(
         ["user_tx", "user_events"],
         f"""SELECT t.gtid, t.context, e."table", e.data,

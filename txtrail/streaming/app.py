@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from txtrail.operators.records import without_redeliveries
-from txtrail.options import TrailOptions
+from txtrail.options import KEYED_STATE, TrailOptions
 from txtrail.session import apply_recommended
 from txtrail.sources.handlers import Handler
 from txtrail.sources.tables import read_audit, read_events, read_tx_versions
 from txtrail.streaming.ingest import start_ingest
+from txtrail.streaming.keyed import start_online_state
 from txtrail.streaming.online import start_online
 from txtrail.streaming.reconcile import start_reconcile, start_upkeep
 
@@ -26,7 +27,7 @@ class Trail:
         """Starts the jobs; they run until stopped."""
         jobs = [
             start_ingest(self.spark, self.options),
-            start_online(self.spark, self.options, handler),
+            self._online(handler),
             start_reconcile(self.spark, self.options, handler),
         ]
         return jobs + ([start_upkeep(self.spark, self.options)] if self.options.upkeep_interval else [])
@@ -35,7 +36,11 @@ class Trail:
         """Works through what the topics hold now: events first, then transactions."""
         once = {"availableNow": True}
         start_ingest(self.spark, self.options, once).awaitTermination()
-        start_online(self.spark, self.options, handler, once).awaitTermination()
+        self._online(handler, once).awaitTermination()
+
+    def _online(self, handler: Handler | None, trigger: dict | None = None) -> StreamingQuery:
+        start = start_online_state if self.options.online == KEYED_STATE else start_online
+        return start(self.spark, self.options, handler, trigger)
 
     def events(self) -> DataFrame:
         return read_events(self.spark, self.options.store)
