@@ -27,9 +27,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 LONG_WORD = 256
 NO_RANK = 1 << 60
-# Entries a worker keeps; longer pieces are not kept.
-KEPT_PIECES = 150_000
+# Bytes of known words that a worker keeps, about; longer words are not kept.
+KEPT_BYTES = 128 << 20
 KEPT_CHARS = 48
+ENTRY_BYTES = 180
 
 
 def byte_letters() -> dict[str, int]:
@@ -41,6 +42,35 @@ def byte_letters() -> dict[str, int]:
     return letters | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
+class Known(dict):
+    """Ids of words met before, in two generations: when the newer one is full it becomes the
+    older one, whose words move back when they are met again, so frequent words stay."""
+
+    def __init__(self, most_bytes: int) -> None:
+        super().__init__()
+        self.most = max(1, most_bytes // 2 // ENTRY_BYTES)
+        self.older: dict[str, bytes] = {}
+
+    def add(self, word: str, ids: bytes) -> None:
+        if len(word) > KEPT_CHARS:
+            return
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+
+    def again(self, word: str) -> bytes | None:
+        """Of the older generation."""
+        ids = self.older.get(word)
+        if ids is not None:
+            self.add(word, ids)
+        return ids
+
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
+
 class Codec:
     """Encoder and decoder of one tokenizer file; a Python worker builds it once."""
 
@@ -67,8 +97,8 @@ class Codec:
         self.pattern = regex.compile(PATTERN)
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        # stretches between spaces, and the few words that are none
+        self.keep(KEPT_BYTES)
 
     @classmethod
     def at(cls, path: str) -> Codec:
@@ -76,6 +106,16 @@ class Codec:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
+    def keep(self, most_bytes: int) -> None:
+        """Starts anew with room for so many bytes of words."""
+        # stretches between spaces, and the few words that are none
+        self.pieces, self.words = Known(most_bytes * 3 // 4), Known(most_bytes // 4)
+
+    def forget(self) -> None:
+        """Drops the words met so far; the vocabulary stays."""
+        self.pieces.forget()
+        self.words.forget()
+
     # --- words ---
 
     def merge(self, word: bytes) -> list[int]:
@@ -135,13 +175,10 @@ class Codec:
         return out
 
     def word(self, word: str) -> bytes:
-        found = self.words.get(word)
+        found = self.words.get(word) or self.words.again(word)
         if found is None:
             found = array("I", self.merge(word.encode())).tobytes()
-            if len(word) <= KEPT_CHARS:
-                if len(self.words) >= KEPT_PIECES:
-                    self.words.clear()
-                self.words[word] = found
+            self.words.add(word, found)
         return found
 
     def piece(self, text: str) -> bytes:
@@ -170,14 +207,11 @@ class Codec:
         return found
 
     def kept(self, cut: str) -> bytes:
-        ids = self.pieces.get(cut)
+        ids = self.pieces.get(cut) or self.pieces.again(cut)
         if ids is None:
             # letters alone are one word of the pattern
             ids = array("I", self.merge(f" {cut}".encode())).tobytes() if cut.isalpha() else self.piece(" " + cut)
-            if len(cut) <= KEPT_CHARS:
-                if len(self.pieces) >= KEPT_PIECES:
-                    self.pieces.clear()
-                self.pieces[cut] = ids
+            self.pieces.add(cut, ids)
         return ids
 
     def encode(self, text: str) -> np.ndarray:

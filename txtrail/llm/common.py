@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +45,32 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
 
 
 def sliced(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """All batches in slices; the buffers go back to the system when the task is through."""
+    """All batches in slices; memory goes back to the system before a task and after it."""
+    release_memory()
     for batch in batches:
         if batch.num_rows:
             yield from slices(batch, column)
     batch = None
+    release_memory()
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system, as a worker outlives its task."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def _trim() -> Callable[[int], int] | None:
+    """The C library keeps freed blocks of arrays until it is asked for them."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return None
+
+
+_TRIM = _trim()
 
 
 def partitions_for(rows: int, rows_each: int, least: int = 1) -> int:

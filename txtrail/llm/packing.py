@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txtrail.llm.bpe import Codec
-from txtrail.llm.common import partitions_for, sliced
+from txtrail.llm.bpe import KEPT_BYTES, Codec
+from txtrail.llm.common import partitions_for, release_memory, sliced
 from txtrail.session import checkpointed
 
 CAPACITY = 1024
@@ -52,9 +52,10 @@ class FastCodec(Codec):
         return self.words_of.encode_ordinary(word.decode()) if self.words_of else super().merge(word)
 
 
-def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
+def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, kept_bytes: int = KEPT_BYTES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the ids of each whole text and end_id;
-    longer documents are cut, and their first piece takes what is over."""
+    longer documents are cut, and their first piece takes what is over. A task keeps about
+    `kept_bytes` of the words it has met and drops them when it ends."""
     schema = T.StructType(
         [
             docs.schema["doc_id"],
@@ -65,6 +66,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = FastCodec.at(path)
+        codec.keep(kept_bytes)
         last = np.array([end_id], "<u4").tobytes()
         for batch in sliced(batches):
             rows, owner = [], []
@@ -78,6 +80,8 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
                     owner.append(i)
             columns = [pa.array(list(c), f) for c, f in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *columns], schema.names)
+        codec.forget()
+        release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -282,6 +286,7 @@ def packed(
     generations: int = GENERATIONS,
     population: int = POPULATION,
     seed: int = 7,
+    kept_bytes: int = KEPT_BYTES,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of each piece.
 
@@ -290,7 +295,7 @@ def packed(
     tokens without gaps; at most one sequence a district is filled worse than its pieces
     force it to.
     """
-    cut = checkpointed(pieces(docs, path, end_id, capacity).withColumn("item", F.monotonically_increasing_id()))
+    cut = checkpointed(pieces(docs, path, end_id, capacity, kept_bytes).withColumn("item", F.monotonically_increasing_id()))
     loose = cut.where(F.col("length") < capacity).select("item", "length")
     districts = partitions_for(loose.count(), district)
     dealt = loose.withColumn("district", F.pmod(F.xxhash64("item"), F.lit(districts)))
