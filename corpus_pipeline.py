@@ -17,6 +17,9 @@ from txtrail.llm.catalog import TOKENIZER
 from txtrail.llm.common import held_out, table
 from txtrail.session import new_folder
 
+# Of the words a task of the last stage has met: workers of all stages share an executor.
+KEPT_BYTES = 48 << 20
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated toxicity is below the threshold, each row judged by its text."""
@@ -62,7 +65,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the documents with their places in sequences of 1024 tokens."""
-    return packing.packed(docs, public_tokenizers.path(TOKENIZER))
+    return packing.packed(docs, public_tokenizers.path(TOKENIZER), kept_bytes=KEPT_BYTES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
