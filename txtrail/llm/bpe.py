@@ -98,6 +98,7 @@ class Codec:
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
         # stretches between spaces, and the few words that are none
+        self.kept_bytes = 0
         self.keep(KEPT_BYTES)
 
     @classmethod
@@ -107,7 +108,10 @@ class Codec:
         return cls._by_path[path]
 
     def keep(self, most_bytes: int) -> None:
-        """Starts anew with room for so many bytes of words."""
+        """Starts anew with room for so many bytes of words, if that is a change."""
+        if most_bytes == self.kept_bytes:
+            return
+        self.kept_bytes = most_bytes
         # stretches between spaces, and the few words that are none
         self.pieces, self.words = Known(most_bytes * 3 // 4), Known(most_bytes // 4)
 

@@ -54,8 +54,9 @@ class FastCodec(Codec):
 
 def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, kept_bytes: int = KEPT_BYTES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the ids of each whole text and end_id;
-    longer documents are cut, and their first piece takes what is over. A task keeps about
-    `kept_bytes` of the words it has met and drops them when it ends."""
+    longer documents are cut, and their first piece takes what is over. A worker keeps about
+    `kept_bytes` of the words it has met; with less than the default it drops them when a
+    task ends."""
     schema = T.StructType(
         [
             docs.schema["doc_id"],
@@ -80,8 +81,9 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, kept_bytes: i
                     owner.append(i)
             columns = [pa.array(list(c), f) for c, f in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *columns], schema.names)
-        codec.forget()
-        release_memory()
+        if kept_bytes < KEPT_BYTES:
+            codec.forget()
+            release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
