@@ -487,10 +487,19 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = SI
 
     roots = components(first)
     marked = groups.drop("n").join(roots, "v", "left").withColumn("c", F.coalesce("root", "v")).drop("root")
-    every = met_by(checkpointed(marked), "both")
+    marked = checkpointed(marked)
+    # a row goes on for each of its keys, so what only pairs need is looked up for these
+    every = met_by(marked.select("v", "u", *SHINGLE_BITS, "c", "bands"), "both")
     x, y = every.alias("x"), every.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.v") < F.col("y.v")) & (F.col("x.c") != F.col("y.c"))
-    met = x.join(y, apart & (wide_distance("x", "y") <= most)).select(side("x").alias("x"), side("y").alias("y"))
+    close = x.join(y, apart & (wide_distance("x", "y") <= most)).select(F.col("x.v").alias("xv"), F.col("y.v").alias("yv"))
+    known = marked.select("v", F.struct(*SIDE).alias("of"))
+    met = (
+        checkpointed(close.distinct())
+        .join(known.select(F.col("v").alias("xv"), F.col("of").alias("x")), "xv")
+        .join(known.select(F.col("v").alias("yv"), F.col("of").alias("y")), "yv")
+        .select("x", "y")
+    )
     joined = components(first.union(verified(docs, met, shingle, similarity)))
     named = groups.join(joined, "v", "left").select("g", "n", F.coalesce("root", "v").alias("component_id"))
     return join_groups(rows.select("doc_id", "g"), checkpointed(named), "g", "n").select("doc_id", "component_id")
