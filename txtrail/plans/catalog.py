@@ -19,7 +19,7 @@ from txtrail.functions import ids
 from txtrail.functions import payload as pl
 from txtrail.functions import timestamps as tm
 from txtrail.functions.predicates import in_args
-from txtrail.operators import aggregates, completeness, filters, joins, projections, records
+from txtrail.operators import aggregates, completeness, filters, gtid_sets, joins, projections, records
 from txtrail.operators import snapshots, state
 from txtrail.options import EXPECTED_COUNT, QUIESCENT, TopicOptions, TrailOptions
 from txtrail.plans import fixtures as fx
@@ -203,6 +203,18 @@ def gtid_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def gtid_executed_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The intervals that all ids of the table cover, by server."""
+    return gtid_sets.executed_set(fx.gtid_runs(spark, sf_dir))
+
+
+@query
+def gtid_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions between the first and the last of a server that no id covers."""
+    return gtid_sets.missing_ranges(fx.gtid_runs(spark, sf_dir))
+
+
 @query
 def context_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = ctx.parse_context("context").alias("p")

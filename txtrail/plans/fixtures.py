@@ -144,6 +144,24 @@ def gtid_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(key.alias("id"), gtid.alias("gtid"))
 
 
+def gtid_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of three servers with one or two intervals that overlap, touch or leave gaps."""
+    key = F.col("o_orderkey")
+
+    def text(number: Column) -> Column:
+        return number.cast("string")
+
+    run = (
+        F.when(key % 4 == 0, text(3 * key))
+        .when(key % 4 == 1, F.concat(text(3 * key), F.lit("-"), text(3 * key + key % 7)))
+        .when(key % 4 == 2, F.concat(text(3 * key), F.lit(":"), text(3 * key + 1), F.lit("-"), text(3 * key + 2)))
+        .otherwise(F.concat(text(3 * key + 5), F.lit("-"), text(3 * key)))
+    )
+    # two thirds of all ids are of one server
+    server = F.concat(F.lit("server-"), F.greatest(F.lit(0), F.col("o_custkey") % 5 - 2).cast("string"))
+    return table(spark, sf_dir, "orders").select(F.concat(server, F.lit(":"), run).alias("gtid"))
+
+
 def context_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("o_orderkey") % 4
     context = (

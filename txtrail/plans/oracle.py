@@ -118,6 +118,22 @@ def _with(views: list[str], sql: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names) + "\n" + sql
 
 
+# intervals of the ids `gtid_runs`, and the islands they form
+_GTID_RUNS = """WITH keys AS (
+      SELECT o_orderkey AS k, 'server-' || CAST(greatest(0, o_custkey % 5 - 2) AS VARCHAR) AS server FROM orders
+    ), runs AS (
+      SELECT server, 3 * k AS lo, 3 * k AS hi FROM keys WHERE k % 4 IN (0, 2)
+      UNION ALL SELECT server, 3 * k, 3 * k + k % 7 FROM keys WHERE k % 4 = 1
+      UNION ALL SELECT server, 3 * k + 1, 3 * k + 2 FROM keys WHERE k % 4 = 2
+    ), reached AS (
+      SELECT *, max(hi) OVER (PARTITION BY server ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+      FROM (SELECT DISTINCT * FROM runs)
+    ), islands AS (
+      SELECT *, sum(CASE WHEN lo <= reach + 1 THEN 0 ELSE 1 END)
+                OVER (PARTITION BY server ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island
+      FROM reached
+    )
+"""
 _MICROS = "'%Y-%m-%d %H:%M:%S.%f'"
 _TX, _EV = ["tx_info"], ["binlog_event"]
 _BOTH = [*_TX, *_EV]
@@ -238,6 +254,10 @@ ORACLE = {
              CASE id % 6 WHEN 0 THEN 1 WHEN 1 THEN id WHEN 2 THEN 1 WHEN 5 THEN 0 END AS n_tx
            FROM gtid_samples""",
     ),
+    "gtid_executed_set": _GTID_RUNS
+    + "SELECT server, min(lo) AS lo, max(hi) AS hi FROM islands GROUP BY server, island",
+    "gtid_gaps": _GTID_RUNS
+    + "SELECT server, reach + 1 AS lo, lo - 1 AS hi FROM reached WHERE lo > reach + 1",
     "context_parse": _with(
         ["context_samples"],
         """SELECT id, CASE WHEN error IS NULL THEN CAST(p[1] AS BIGINT) END AS "type",
