@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -274,6 +275,43 @@ def test_search(spark, shard):
     assert {tuple(r) for r in found} == want
 
 
+def best_of_equal_length(rows, every, k):
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    want = set()
+    for i, q in whole:
+        if i % every == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in whole if j != i and len(v) == len(q))[:k]
+            want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(best)}
+    return want
+
+
+@pytest.mark.parametrize("scale", [1.0, 2.0**25, 2.0**22])
+def test_maxscore_lengths_and_large_components(spark, scale):
+    rng = random.Random(8)
+    rows = [(i, [scale * rng.uniform(-1, 1) for _ in range([2, 1, 0, 5][i % 4])]) for i in range(60)]
+    rows += [(100, [2.0**26, 0.0, -1.0, 0.0, 0.0]), (104, [0.0] * 5), (108, [0.5 + n for n in range(7)])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = maxscore.search(df, F.col("vec_id") % 4 == 0, k=3, query_block=4, shard=6).collect()
+    assert {tuple(r) for r in found} == best_of_equal_length(rows, 4, 3)
+    assert len(found) == len({tuple(r) for r in found})
+
+
+def test_maxscore_touches_few_vectors_of_sparse_lists(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.uniform(0.2, 1) if rng.random() < 0.1 else 0.0 for _ in range(40)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = maxscore.search(df, F.col("vec_id") % 5 == 0, k=3).collect()
+    assert {tuple(r) for r in found} == best_of_equal_length(rows, 5, 3)
+
+
+def test_maxscore_refuses_what_64_bits_cannot_hold(spark):
+    schema = "vec_id bigint, embedding array<double>"
+    with pytest.raises(ValueError, match="too large"):
+        maxscore.search(spark.createDataFrame([(1, [2.0**57])], schema), F.lit(True))
+    with pytest.raises(PythonException, match="too large"):
+        maxscore.search(spark.createDataFrame([(1, [2.0**30]), (2, [2.0**30])], schema), F.lit(True)).collect()
+
+
 def test_url_rules(spark):
     urls = ["http://A.net/x", "http://example.net/en/1", "http://www.example.com/de/9?x", "https://b.org/fr/#q", "nothing", None, "http://net", "http://xnet/"]
     urls += [f"http://h{i % 7}.net/bad/{i}" for i in range(40)] + [f"http://h{i % 7}.org/fr/{i}" for i in range(40)]

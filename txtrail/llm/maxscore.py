@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txtrail.llm.common import partitions_for
+from txtrail.llm.common import join_groups
 from txtrail.session import checkpointed
 
 K = 20
@@ -35,7 +35,8 @@ SHARD = 8192
 TOGETHER = 128
 SEEDS = 512
 PROBE_STEP = 4
-LOWEST = -(1 << 52)
+# Where no sum can reach this, neither it nor a sum less what others can take from it wraps.
+SAFE_SUM = 1 << 62
 
 
 def integral(vector: Column, scale: int = 64) -> Column:
@@ -52,15 +53,16 @@ class Shard:
     most vectors are in about half of all lists.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest_query: int) -> None:
         order = np.argsort(ids, kind="stable")  # equal scores: smaller id first
         self.ids = ids[order]
-        largest = int(np.abs(vectors).max()) if vectors.size else 0
-        # exact in floating point as long as no sum can pass 2^53
-        self.kind = np.float64 if largest**2 * vectors.shape[1] < 1 << 53 else np.int64
+        # exact in floating point, in 64 bits, or as integers of any size
+        bound = largest(vectors) * largest_query * vectors.shape[1]
+        self.kind = np.float64 if bound < 1 << 53 else np.int64 if bound < SAFE_SUM else object
+        self.lowest = -SAFE_SUM if self.kind is np.int64 else -np.inf
         self.impacts = np.ascontiguousarray(vectors[order].T).astype(self.kind)
         self.lists = [np.packbits(self.impacts > 0, axis=1), np.packbits(self.impacts < 0, axis=1)]
-        self.most = [self.impacts.max(axis=1).clip(0), (-self.impacts).max(axis=1).clip(0)]
+        self.most = [np.maximum(x.max(axis=1), 0) for x in (self.impacts, -self.impacts)]
 
     def best(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(positions, scores) of the k best for each query, without its own id."""
@@ -72,18 +74,28 @@ class Shard:
         bounds = np.cumsum(np.take_along_axis(gains, order, axis=1), axis=1)
         # the score to beat at first: the k-th best among the first vectors of the shard
         seeds = queries @ self.impacts[:, : SEEDS]
-        seeds[self.ids[None, :SEEDS] == own[:, None]] = LOWEST
+        seeds[self.ids[None, :SEEDS] == own[:, None]] = self.lowest
         seeds = np.sort(seeds, axis=1)[:, ::-1]
-        beat = seeds[:, k - 1] if seeds.shape[1] >= k else np.full(len(queries), LOWEST)
+        beat = seeds[:, k - 1] if seeds.shape[1] >= k else np.full(len(queries), self.lowest, seeds.dtype)
         # non-essential: the run of smallest bounds whose sum stays below it
         n_free = np.where(beat > 0, (bounds < beat[:, None]).sum(axis=1), 0)
         essential = queries.copy()
         for i, n in enumerate(n_free.tolist()):
             essential[i, order[i, :n]] = 0
-        partial = essential @ self.impacts  # essential postings, and what the same dimensions subtract
+        touched = [self._touched(essential[i]) if n else np.arange(len(self.ids)) for i, n in enumerate(n_free.tolist())]
+        # essential postings, and what the same dimensions subtract: vector by vector where
+        # lists hold few of them, and in one product for queries whose lists hold most
+        many = np.array([len(t) * 2 > len(self.ids) for t in touched], bool)
+        together = iter(essential[many] @ self.impacts)
         for i, n in enumerate(n_free.tolist()):
-            docs = self._touched(essential[i]) if n else np.arange(len(self.ids))
-            yield self._probe(docs[self.ids[docs] != own[i]], partial[i], queries[i], order[i, :n][::-1], bounds[i], losses[i], beat[i], k)
+            docs = touched[i]
+            if many[i]:
+                partial = next(together)[docs]
+            else:
+                at = np.nonzero(essential[i])[0]
+                partial = essential[i, at] @ self.impacts[np.ix_(at, docs)]
+            other = self.ids[docs] != own[i]
+            yield self._probe(docs[other], partial[other], queries[i], order[i, :n][::-1], bounds[i], losses[i], beat[i], k)
 
     def _touched(self, essential: np.ndarray) -> np.ndarray:
         """Vectors in the list of an essential term; a vector in none cannot reach the score."""
@@ -91,9 +103,8 @@ class Shard:
         down = np.bitwise_or.reduce(self.lists[1][essential < 0], axis=0)
         return np.nonzero(np.unpackbits(up | down, count=len(self.ids)))[0]
 
-    def _probe(self, docs, partial, query, free, bounds, losses, beat, k):  # noqa: ANN001, ANN202
+    def _probe(self, docs, scores, query, free, bounds, losses, beat, k):  # noqa: ANN001, ANN202
         """Adds the other terms by falling bound for the vectors that still compete."""
-        scores = partial[docs]
         for at in range(0, len(free), PROBE_STEP):
             left = free[at:]
             if len(docs) > k:
@@ -106,26 +117,36 @@ class Shard:
         if len(docs) > 4 * k:
             last = np.partition(scores, len(scores) - k)[len(scores) - k]
             docs, scores = docs[scores >= last], scores[scores >= last]
-        order = np.lexsort((docs, -scores))[:k]
+        order = np.argsort(-scores, kind="stable")[:k]  # vectors are in the order of their ids
         return docs[order], scores[order].astype(np.int64)
 
 
-def blocks(vectors: DataFrame, size: int, n: int, name: str) -> DataFrame:
-    """(name, ids, packed): bounded blocks of vectors; each task packs its own."""
+def largest(vectors: np.ndarray) -> int:
+    """The largest absolute value; of the smallest integer, too."""
+    return max(int(vectors.max()), -int(vectors.min())) if vectors.size else 0
+
+
+def packed(ids: np.ndarray, vectors: np.ndarray) -> dict[str, list[bytes | str]]:
+    """Ids and components as bytes, components as wide as the largest one needs."""
+    widths = [np.dtype(f"<i{n}") for n in (1, 2, 4, 8)]
+    width = next(w for w in widths if largest(vectors) <= np.iinfo(w).max or w.itemsize == 8)
+    return {"ids": [ids.astype("<i8").tobytes()], "width": [width.str], "packed": [vectors.astype(width).tobytes()]}
+
+
+def unpacked(ids: bytes, width: str, components: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    numbers = np.frombuffer(ids, "<i8")
+    return numbers, np.frombuffer(components, width).reshape(len(numbers), size).astype(np.int64)
+
+
+def blocks(vectors: DataFrame, name: str) -> DataFrame:
+    """(size, name, ids, width, packed): bounded blocks of vectors of one length; each task packs its own."""
 
     def run(group: pa.Table) -> pa.Table:
-        ids = group["vec_id"].to_numpy()
         flat = group["v"].combine_chunks().flatten().to_numpy()
-        return pa.table(
-            {
-                name: group[name][:1],
-                "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()),
-                "packed": pa.array([flat.astype("<i4").tobytes()], pa.binary()),
-            }
-        )
+        first = {c: group[c][:1] for c in ("size", name)}
+        return pa.table(first | packed(group["vec_id"].to_numpy(), flat))
 
-    dealt = vectors.withColumn(name, F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)))
-    return dealt.groupBy(name).applyInArrow(run, f"{name} bigint, ids binary, packed binary")
+    return vectors.groupBy("size", name).applyInArrow(run, f"size int, {name} bigint, ids binary, width string, packed binary")
 
 
 def search(
@@ -133,36 +154,41 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows of each row that `queries` picks.
 
-    Columns vec_id and embedding, all of one length; others are not looked at. Rows without
-    vec_id, and vectors that are null or hold a component that is null or not finite, take no
-    part; neither do vectors of another length than the most frequent one. Equal scores go
-    to the smaller vec_id. Rows that repeat a vec_id are one vector each as candidates; a
-    query leaves out every row with its id.
+    Columns vec_id and embedding; others are not looked at. Vectors of each length are
+    searched among themselves. Rows without vec_id, and vectors that are null or hold a
+    component that is null or not finite, take no part. Equal scores go to the smaller
+    vec_id. Rows that repeat a vec_id are one vector each as candidates; a query leaves out
+    every row with its id, and gets k rows for each of its vectors' lengths together.
+    A component or a score that 64 bits cannot hold is an error.
     """
     whole = vectors.where(F.col("vec_id").isNotNull()).select("vec_id", integral(F.col("embedding"), scale).alias("v"), queries.alias("q"))
-    whole = checkpointed(whole.where(F.col("v").isNotNull()))
-    counts = whole.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n"), F.sum(F.col("q").cast("int")).alias("nq"))
-    found = counts.orderBy(F.desc("n"), "size").first()
-    if found is None:
-        return whole.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("bigint").alias("score"))
-    same = whole.where(F.size("v") == found["size"])
-    n_shards = partitions_for(found.n, shard)
-    n_blocks = partitions_for(found.nq or 0, query_block, 1)
-    dim = found["size"]
-    shards = blocks(same.select("vec_id", "v"), shard, n_shards, "shard")
-    asked = blocks(same.where("q").select("vec_id", "v").distinct(), query_block, n_blocks, "block")
-    left = asked.select("block", "ids", "packed", F.explode(F.expr(f"sequence(0L, {n_shards - 1}L)")).alias("shard"))
-    right = shards.select(
-        "shard", F.col("ids").alias("s_ids"), F.col("packed").alias("s_packed"),
-        F.explode(F.expr(f"sequence(0L, {n_blocks - 1}L)")).alias("block"),
-    )
+    whole = checkpointed(whole.where(F.col("v").isNotNull()).withColumn("size", F.size("v")))
+    most = F.greatest(F.array_max("v").cast("double"), -F.array_min("v").cast("double"))
+    sizes = checkpointed(whole.groupBy("size").agg(F.count("*").alias("n"), F.count_if("q").alias("nq"), F.max(most).alias("most")))
+    # floor() ends there
+    if not sizes.where(F.col("most") >= 2.0**63).isEmpty():
+        raise ValueError("a component is too large for 64 bits")
+    dealt = sizes.select(
+        "size",
+        "n",
+        F.greatest(F.lit(1), F.ceil(F.col("n") / shard)).alias("n_shards"),
+        F.greatest(F.lit(1), F.ceil(F.col("nq") / query_block)).alias("n_blocks"),
+    )
+    placed = join_groups(whole, dealt, "size", "n")
+    of = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.col(n))
+    shards = blocks(placed.select("size", of("n_shards").alias("shard"), "vec_id", "v"), "shard")
+    asked = blocks(placed.where("q").select("size", of("n_blocks").alias("block"), "vec_id", "v").distinct(), "block")
+    counts = dealt.drop("n")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    left = asked.join(counts, "size").withColumn("shard", every("n_shards")).select("size", "block", "shard", "ids", "width", "packed")
+    right = shards.join(counts, "size").withColumn("block", every("n_blocks"))
+    right = right.select("size", "block", "shard", *[F.col(c).alias(f"s_{c}") for c in ("ids", "width", "packed")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                lists = Shard(np.frombuffer(row["s_ids"], "<i8"), np.frombuffer(row["s_packed"], "<i4").reshape(-1, dim).astype(np.int64))
-                ids = np.frombuffer(row["ids"], "<i8")
-                queries_ = np.frombuffer(row["packed"], "<i4").reshape(-1, dim).astype(np.int64)
+                ids, queries_ = unpacked(row["ids"], row["width"], row["packed"], row["size"])
+                lists = Shard(*unpacked(row["s_ids"], row["s_width"], row["s_packed"], row["size"]), largest(queries_))
                 asked_, best_, scores_ = [], [], []
                 for at in range(0, len(ids), TOGETHER):
                     own = ids[at : at + TOGETHER]
@@ -174,7 +200,7 @@ def search(
                     [pa.array(np.concatenate(x).astype(np.int64)) for x in (asked_, best_, scores_)], ["query_id", "vec_id", "score"]
                 )
 
-    pairs = left.join(right.hint("shuffle_merge"), ["block", "shard"])
+    pairs = left.join(right.hint("shuffle_merge"), ["size", "block", "shard"])
     hits = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
