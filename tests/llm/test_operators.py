@@ -1,9 +1,11 @@
 """Operators against brute force on small tables with awkward rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -328,6 +330,54 @@ def test_url_rules(spark):
     assert got[len(urls) - 2][3] == "block" and got[len(urls) - 1][3] == "allow"
 
 
+def mined_by_enumeration(labelled, urls, least, confidence, most):
+    """Verdict of each token set: all token sets of a labelled row are tried as rules."""
+    hits = Counter(
+        (frozenset(part), verdict)
+        for tokens, verdict in labelled
+        for n in range(1, most + 1)
+        for part in itertools.combinations(sorted(tokens), n)
+    )
+    sets = Counter()
+    for (part, _), n in hits.items():
+        sets[part] += n
+    rules = {k: n / sets[k[0]] for k, n in hits.items() if n >= least and n / sets[k[0]] >= confidence}
+    kept = {k for k, c in rules.items() if not any(v == k[1] and p < k[0] and d >= c for (p, v), d in rules.items())}
+    best = lambda u: max(((rules[k], hits[k], k[1]) for k in kept if k[0] <= u), default=(0, 0, "allow"))[2]
+    return [best(u) for u in urls]
+
+
+@pytest.mark.parametrize("broadcast", [urlrules.BROADCAST_ROWS, 0])
+def test_mined_verdicts_by_enumeration(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(urlrules, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(12)
+    words = "ad shop news blog cart wiki".split()
+    paths = ["/".join(rng.sample(words, rng.randrange(1, 5))) for _ in range(240)]
+    hosts = [rng.choice(["a.net", "b.net", "x.org/fr", "x.info", "y.info", "z.biz"]) for _ in paths]
+    urls = [f"http://{h}/{p}" for h, p in zip(hosts, paths)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urlrules.judged(pages, URL_RULES, 0.05, 0.6, 3, 4).collect()}
+    sets = [frozenset(re.split(r"[./]", u[7:])) for u in urls]
+    labelled = [(t, got[i][1]) for i, t in enumerate(sets) if got[i][0]]
+    rest = [i for i in range(len(urls)) if not got[i][0]]
+    want = mined_by_enumeration(labelled, [sets[i] for i in rest], max(4, math.ceil(0.05 * len(labelled))), 0.6, 3)
+    assert [got[i][1] for i in rest] == want
+    assert len(set(want)) == 2
+
+
+def test_many_shared_tokens_are_mined_in_time(spark):
+    """Twenty words in every blocked path, and as many in nearly every path of either verdict."""
+    always, mostly = [f"a{chr(97 + i)}" for i in range(20)], [f"m{chr(97 + i)}" for i in range(8)]
+    urls = [f"http://h.net/{'/'.join(always + mostly)}/{i}" for i in range(60)]
+    urls += [f"http://h.org/fr/{'/'.join(w for j, w in enumerate(mostly) if (i + j) % 9)}" for i in range(60)]
+    urls += [f"http://h.info/{'/'.join(always)}", "http://h.info/fr"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    start = time.monotonic()
+    got = {r.page_id: r.verdict for r in urlrules.judged(pages, URL_RULES).collect()}
+    assert (got[120], got[121]) == ("block", "allow")
+    assert time.monotonic() - start < 60
+
+
 def test_path_is_the_one_behind_the_first_host(spark):
     want = {
         "http://example.com?next=http://x.org/de/a": ("example.com", "", None),

@@ -8,6 +8,7 @@ its rarest token, so a URL only meets the rules that one of its tokens points at
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -18,6 +19,8 @@ from txtrail.llm.common import join_groups
 from txtrail.session import checkpointed
 
 ALLOW, BLOCK = "allow", "block"
+# A table of tokens or rules of more rows than this is joined by a shuffle.
+BROADCAST_ROWS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -72,22 +75,74 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(named, lambda w: w != ""))
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float, max_tokens: int) -> DataFrame:
-    """(tokens, verdict, confidence, support) of the kept rules, from columns tokens and verdict."""
-    marked = labelled.select(
-        F.concat("tokens", F.array(F.concat(F.lit("="), F.col("verdict")))).alias("items")
+@dataclass(frozen=True)
+class Mined:
+    """Rules over classes of tokens, and the class of each token that can be in a rule."""
+
+    rules: DataFrame  # tokens (one of each class), verdict, confidence, support
+    classes: DataFrame  # token, class
+
+
+def token_classes(rows: DataFrame, least: int) -> DataFrame:
+    """(class, members, n, blocked): tokens of at least so many rows; those of the same rows are one class.
+
+    `rows` has row, tokens and verdict. Rows are told by 128 bits of their numbers.
+    """
+    counted = (
+        rows.select(F.explode("tokens").alias("token"), "row", "verdict")
+        .groupBy("token")
+        .agg(
+            F.count("*").alias("n"),
+            F.count_if(F.col("verdict") == BLOCK).alias("blocked"),
+            F.bit_xor(F.xxhash64("row")).alias("x"),
+            F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("y"),
+        )
+        .where(F.col("n") >= least)
+    )
+    # tokens of the same rows: no more than a URL has
+    return counted.groupBy("n", "blocked", "x", "y").agg(
+        F.min("token").alias("class"), F.collect_list("token").alias("members")
+    )
+
+
+def mine(labelled: DataFrame, min_support: float, min_confidence: float, max_tokens: int, min_rows: int) -> Mined:
+    """The kept rules, from columns tokens and verdict (allow or block).
+
+    A rule's tokens go with its verdict in at least min_rows rows and in min_support of
+    all. What one token says is counted first. FP-growth then mines combinations, without
+    what cannot give a rule of its own: rare tokens, tokens of the same rows as another
+    (they are one class), and tokens that always go with one verdict, since no combination
+    with them is more confident.
+    """
+    rows = checkpointed(labelled.select("tokens", "verdict").withColumn("row", F.monotonically_increasing_id()))
+    total = rows.count()
+    least = max(min_rows, math.ceil(min_support * total))
+    found = checkpointed(token_classes(rows, least))
+    by_verdict = F.explode(F.create_map(F.lit(BLOCK), F.col("blocked"), F.lit(ALLOW), F.col("n") - F.col("blocked")))
+    single = (
+        found.select(F.array("class").alias("tokens"), "n", by_verdict.alias("verdict", "hits"))
+        .where((F.col("hits") >= least) & (F.col("hits") / F.col("n") >= min_confidence))
+        .select("tokens", "verdict", (F.col("hits") / F.col("n")).alias("confidence"), (F.col("hits") / total).alias("support"))
     )
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(marked)
-    rules = checkpointed(
+    classes = found.select(F.explode("members").alias("token"), "class")
+    undecided = found.where((F.col("blocked") > 0) & (F.col("blocked") < F.col("n"))).select("class")
+    # one token of each class stands for it
+    items = few(rows.select("row", "verdict", F.explode("tokens").alias("class")), undecided, "class")
+    items = items.groupBy("row", "verdict").agg(F.collect_set("class").alias("tokens"))
+    marked = items.select(F.concat("tokens", F.array(F.concat(F.lit("="), F.col("verdict")))).alias("items"))
+    # rows without such a token are not among them; half a row keeps clear of rounding
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, marked.count())), minConfidence=min_confidence).fit(marked)
+    several = (
         model.associationRules.where(F.col("consequent")[0].startswith("="))
-        .where(F.size("antecedent") <= max_tokens)
+        .where(F.size("antecedent").between(2, max_tokens))
         .select(
             F.array_sort("antecedent").alias("tokens"),
             F.substring(F.col("consequent")[0], 2, 100).alias("verdict"),
             "confidence",
-            "support",
+            (F.col("support") * F.lit(marked.count()) / total).alias("support"),
         )
     )
+    rules = checkpointed(single.union(several))
     # a rule with fewer tokens that is as confident says the same about more URLs
     fewer, more = rules.alias("f"), rules.alias("m")
     token = F.explode("m.tokens").alias("token")
@@ -97,19 +152,28 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float, max_tok
         .where("v = verdict AND c >= confidence AND size(part) < size(tokens) AND size(array_except(part, tokens)) = 0")
         .select("tokens", "verdict")
     )
-    return rules.join(beaten.distinct(), ["tokens", "verdict"], "left_anti")
+    return Mined(checkpointed(rules.join(beaten.distinct(), ["tokens", "verdict"], "left_anti")), classes)
+
 
+def few(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Inner join with a table of one row a key: broadcast up to BROADCAST_ROWS of them, else shuffled.
 
-def matches(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    `known` is written first, so that adaptive execution can split a frequent key.
+    """
+    known = checkpointed(known)
+    return rows.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, key)
+
+
+def matches(pages: DataFrame, mined: Mined) -> DataFrame:
     """(key, verdict): of the rules whose tokens a URL all has, the most confident one's;
     then the one with more support, then the blocking one."""
-    used = rules.select(F.explode("tokens").alias("token")).distinct()
-    frequency = (
-        pages.select(F.explode("tokens").alias("token"))
-        .groupBy("token")
-        .agg(F.count("*").alias("n"))
-        .join(used, "token")
-    )
+    rules = mined.rules
+    used = rules.select(F.explode("tokens").alias("class")).distinct()
+    classes = mined.classes.join(used, "class")
+    # a URL has a class if it has any token of it
+    of_url = few(pages.select("key", F.explode("tokens").alias("token")), classes, "token")
+    of_url = checkpointed(of_url.groupBy("key").agg(F.collect_set("class").alias("tokens")))
+    frequency = of_url.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     spread = rules.withColumn("rule", F.xxhash64("tokens", "verdict")).withColumn("token", F.explode("tokens"))
     index = (
         spread.join(frequency, "token", "left")
@@ -119,9 +183,7 @@ def matches(pages: DataFrame, rules: DataFrame) -> DataFrame:
         .groupBy("token")
         .agg(F.collect_list("rule").alias("rules"))
     )
-    # The index is bounded: a rule's tokens are frequent, so there are at most
-    # (tokens per URL) / min_support of them, whatever the number of pages.
-    probed = pages.select("key", "tokens", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")
+    probed = few(of_url.select("key", "tokens", F.explode("tokens").alias("token")), index, "token")
     fitting = F.filter("rules", lambda r: F.size(F.array_except(r["tokens"], F.col("tokens"))) == 0)
     best = F.array_max(
         F.transform(fitting, lambda r: F.struct(r["confidence"].alias("c"), r["support"].alias("s"), r["verdict"].alias("verdict")))
@@ -135,6 +197,7 @@ def judged(
     min_support: float = 0.01,
     min_confidence: float = 0.6,
     max_tokens: int = 4,
+    min_rows: int = 5,
     default: str = ALLOW,
 ) -> DataFrame:
     """Each row's page_id with host, path, rule and verdict.
@@ -142,20 +205,21 @@ def judged(
     The listed rule decides where one fits, the mined rules elsewhere, and `default` where
     none applies. A URL that is null or has no :// has an empty host and path and gets the
     default. Repeated rows come once each; columns besides page_id and url are not looked at.
-    Frequent token sets of at most max_tokens tokens are bounded by the support, not by the
-    number of pages.
+    A URL of any length takes part with all of its tokens.
     """
     # URLs are judged once for each different host and path
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     listed = split.withColumn("listed", longest_listed(rules, F.col("host"), F.col("path")))
     parsed = checkpointed(listed.withColumn("tokens", tokens(F.col("host"), F.col("path"))))
     labelled = parsed.where("listed is not null").select("tokens", F.col("listed.verdict").alias("verdict"))
-    rest = parsed.where("listed is null").withColumn("key", F.xxhash64("host", "path"))
+    rest = parsed.where("listed is null")
+    # a host has no slash and a path begins with one
+    rest = rest.withColumn("key", F.concat("host", "path"))
     urls = checkpointed(rest.groupBy("key").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n")))
     if labelled.isEmpty():
         mined = urls.select("key", F.lit(None).cast("string").alias("mined"))
     else:
-        mined = matches(urls, checkpointed(mine(labelled, min_support, min_confidence, max_tokens)))
+        mined = matches(urls, mine(labelled, min_support, min_confidence, max_tokens, min_rows))
     found = checkpointed(urls.select("key", "n").join(mined, "key", "left"))
     keyed = join_groups(rest, found, "key", "n").select("page_id", "host", "path", "listed", "mined")
     keyed = keyed.union(parsed.where("listed is not null").select("page_id", "host", "path", "listed", F.lit(None).alias("mined")))
