@@ -1,5 +1,6 @@
 """Operators against brute force on small tables with awkward rows."""
 
+import base64
 import hashlib
 import itertools
 import math
@@ -403,6 +404,66 @@ def test_words_advance_together_as_one_by_one():
     assert np.isneginf(langid.Pieces(table, 2).log_forward([b"a", b"ax"])[1]).all()
 
 
+def segmentations(word, pieces):
+    if not word:
+        yield []
+    for n in range(1, len(word) + 1):
+        if word[:n] in pieces:
+            for rest in segmentations(word[n:], pieces):
+                yield [word[:n], *rest]
+
+
+def test_sums_and_expected_counts_by_enumeration():
+    rng = random.Random(15)
+    table = {bytes([b]): (rng.random(), rng.random()) for b in b"abc"}
+    table |= {bytes(rng.choices(b"abc", k=rng.randrange(2, 7))): (rng.random(), 0.0) for _ in range(40)}
+    for n in range(1, 13):
+        word = bytes(rng.choices(b"abc", k=n))
+        for lang in (0, 1):
+            found = [(s, math.prod(table[p][lang] for p in s)) for s in segmentations(word, table)]
+            whole = math.fsum(x for _, x in found)
+            assert math.isclose(langid.log_forward(word, table, 2)[lang], math.log(whole))
+            want, got = Counter(), Counter()
+            for pieces, x in found:
+                for piece in pieces:
+                    want[piece] += x / whole
+            for piece, share in langid.expected_counts(word, table, langid.prefixes(table), lang):
+                got[piece] += share
+            assert all(math.isclose(want[p], got[p], abs_tol=1e-12) for p in want | got)
+    assert not list(langid.expected_counts(b"abx", table, langid.prefixes(table), 0))
+    long = b"abc" * 20_000  # as many cuts as pieces, whatever their length
+    shares = list(langid.expected_counts(long, table, langid.prefixes(table), 0))
+    assert math.isclose(math.fsum(len(p) * x for p, x in shares), len(long), rel_tol=1e-6)
+
+
+def test_vocabulary_is_whole():
+    path = public_tokenizers.path(LANGUAGE_PIECES)
+    kept = set(langid.vocabulary(path))
+    with open(path, "rb") as f:
+        every = {base64.b64decode(line.split()[0]) for line in f if line.strip()}
+    texts_ = ["Straße häuser ДЕЙСТВИТЕЛЬНО ありがとうございました", "it's 12:30, don't", "ÉTÉ naïve"]
+    words = [langid.spelled(w) for t in texts_ for w in t.split()]
+    parts = {w[i:j] for w in words for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
+    assert parts & every == parts & kept
+    assert max(map(len, parts & kept)) > 16
+
+
+def test_language_scores_by_enumeration(spark):
+    """Scores of the query's steps: smoothed counts, sums over segmentations, shares of languages."""
+    made = [(i, ["sel vent", "salt wind"][i % 2], ["fr", "en"][i % 2]) for i in range(20)]
+    rows = spark.createDataFrame([*made, (90, "vent SALT!", None)], "doc_id bigint, text string, lang string")
+    model = langid.learnt(rows, public_tokenizers.path(LANGUAGE_PIECES), F.lit(True))
+    assert set(model.probs) == set(langid.vocabulary(public_tokenizers.path(LANGUAGE_PIECES)))
+    assert all(math.isclose(math.fsum(p[i] for p in model.probs.values()), 1) for i in (0, 1))
+    sums = [1.0, 1.0]
+    for word in (b" vent", b" salt"):
+        for i in (0, 1):
+            sums[i] *= math.fsum(math.prod(model.probs[p][i] for p in s) for s in segmentations(word, model.probs))
+    got = langid.predicted(rows.where("doc_id = 90"), model).first()
+    assert math.isclose(got.score, max(sums) / sum(sums), rel_tol=1e-9)
+    assert got.lang_pred == model.langs[sums.index(max(sums))]
+
+
 def test_language_sums_all_segmentations(spark, documents):
     table = {b"a": (0.5, 0.1), b"b": (0.2, 0.3), b"ab": (0.3, 0.6)}
     assert np.allclose(np.exp(langid.log_forward(b"ab", table, 2)), [0.5 * 0.2 + 0.3, 0.1 * 0.3 + 0.6])
@@ -448,6 +509,15 @@ def test_empty_tables(spark, documents):
     assert urlrules.judged(pages, URL_RULES).count() == 0
 
 
+def test_toxicity_labels_that_differ_and_terms_as_a_parameter(spark, documents):
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, None), (3, 7)], "doc_id bigint, toxic int")
+    assert {tuple(r) for r in toxicity.sample(labels, "toxic", 10).collect()} == {(1, 1), (2, 0)}
+    docs = documents([(i, "grobian lamp") for i in range(30)] + [(30 + i, "lamp salt") for i in range(30)])
+    labelled = docs.select("text", (F.col("doc_id") < 30).cast("int").alias("label"))
+    few, none = (toxicity.learnt_lexicon(labelled, n) for n in (5, 0))
+    assert few.weight("grobian") > 0 and not none.weight("grobian")
+
+
 def test_toxicity_carries_rows_along(spark, documents):
     docs = documents([(1, "lamp"), (2, None), (None, "salt"), (2, None)]).selectExpr("*", "7 AS score", "8 AS hits")
     labels = spark.createDataFrame([(1, 1)], "doc_id bigint, toxic int")

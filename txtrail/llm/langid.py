@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import base64
 import math
-from collections.abc import Iterator
+import re
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,7 @@ UNKNOWN = "und"
 # Documents a language is learnt from, by the order of their hashes; about this many.
 TRAIN_DOCS = 400
 ROUNDS = 2
-LONGEST_PIECE = 16
 KEPT_WORDS = 300_000
-# Words over this many bytes are learnt from in runs of this length; scores sum whole words.
-RUN_BYTES = 64
 # New words are scored in blocks of about this many bytes, longer words one at a time.
 BLOCK_BYTES = 1 << 18
 LONG_WORD = 1 << 12
@@ -39,11 +38,15 @@ RESCALE = 8
 NO_LETTER = regex.compile(r"[^\p{L}]+")
 
 
-def vocabulary(path: str) -> dict[bytes, int]:
+# No word has these bytes, see `spelled`; a space is only at its start.
+NOT_IN_WORDS = re.compile(rb"[\x00-\x1f\x21-\x60\x7b-\x7f]|(?<!^) ", re.DOTALL)
+
+
+def vocabulary(path: str) -> list[bytes]:
+    """All pieces of the file that can be part of a spelled word, of any length."""
     with open(path, "rb") as f:
-        ranks = dict(line.split() for line in f if line.strip())
-    pieces = {base64.b64decode(p): int(n) for p, n in ranks.items()}
-    return {p: n for p, n in pieces.items() if len(p) <= LONGEST_PIECE}
+        pieces = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
+    return [p for p in pieces if not NOT_IN_WORDS.search(p)]
 
 
 def spelled(word: str) -> bytes:
@@ -52,22 +55,12 @@ def spelled(word: str) -> bytes:
     return f" {letters}".encode() if letters else b""
 
 
-def found_pieces(word: bytes, table: dict) -> list[list]:
-    """For each end, the (start, entry) of the pieces that end there."""
-    ends: list[list] = [[] for _ in range(len(word) + 1)]
-    for start in range(len(word)):
-        for end in range(start + 1, min(len(word), start + LONGEST_PIECE) + 1):
-            entry = table.get(word[start:end])
-            if entry is not None:
-                ends[end].append((start, entry))
-    return ends
-
-
 def log_forward(word: bytes, table: dict, n_langs: int) -> list[float]:
     """Log probability of a word in each language, over all segmentations.
 
     Only the sums of the last places are held, so a word may be of any length.
     """
+    longest = max(map(len, table), default=0)
     sums = {0: [1.0] * n_langs}
     logs = [0.0] * n_langs
     for end in range(1, len(word) + 1):
@@ -77,7 +70,7 @@ def log_forward(word: bytes, table: dict, n_langs: int) -> list[float]:
             if probs is not None:
                 totals = [t + b * p for t, b, p in zip(totals, before, probs)]
         sums[end] = totals
-        sums.pop(end - LONGEST_PIECE, None)
+        sums.pop(end - longest, None)
         if end % RESCALE == 0:
             scales = [1 / t if t else 1.0 for t in totals]
             sums = {at: [x * k for x, k in zip(row, scales)] for at, row in sums.items()}
@@ -85,24 +78,45 @@ def log_forward(word: bytes, table: dict, n_langs: int) -> list[float]:
     return [math.log(t) + x if t else -math.inf for t, x in zip(sums[len(word)], logs)]
 
 
-def expected_counts(word: bytes, table: dict, lang: int) -> Iterator[tuple[bytes, float]]:
-    """Expected number of each piece in a word of bounded length."""
-    ends = found_pieces(word, table)
-    n = len(word)
-    forward = [1.0] + [0.0] * n
-    for end in range(1, n + 1):
-        forward[end] = sum(forward[start] * probs[lang] for start, probs in ends[end])
-    backward = [0.0] * n + [1.0]
-    for end in range(n, 0, -1):
-        for start, probs in ends[end]:
-            backward[start] += probs[lang] * backward[end]
-    whole = forward[n]
-    if whole > 0:
-        for end in range(1, n + 1):
-            for start, probs in ends[end]:
-                share = forward[start] * probs[lang] * backward[end] / whole
-                if share > 1e-6:
-                    yield word[start:end], share
+def prefixes(pieces: Iterable[bytes]) -> set[bytes]:
+    return {p[:n] for p in pieces for n in range(1, len(p) + 1)}
+
+
+def starting(word: bytes, start: int, table: dict, begun: set[bytes]) -> Iterator[tuple[int, object]]:
+    """(end, entry) of the pieces that start there."""
+    for end in range(start + 1, len(word) + 1):
+        piece = word[start:end]
+        if piece not in begun:
+            return
+        if piece in table:
+            yield end, table[piece]
+
+
+def expected_counts(word: bytes, table: dict, begun: set[bytes], lang: int) -> Iterator[tuple[bytes, float]]:
+    """Expected number of each piece in a word of any length, place by place.
+
+    Two numbers are held for each byte: the log of its forward sum, and the share of all
+    segmentations that cut there. Nothing comes of a word that no segmentation spells.
+    """
+    logs = array("d", [0.0]) + array("d", [-math.inf]) * len(word)
+    arriving: dict[int, list[tuple[int, float]]] = {}
+    for start in range(len(word)):
+        if logs[start] > -math.inf:
+            for end, probs in starting(word, start, table, begun):
+                arriving.setdefault(end, []).append((start, probs[lang]))
+        steps = [(logs[at], p) for at, p in arriving.pop(start + 1, ()) if p > 0]
+        if steps:
+            most = max(x for x, _ in steps)
+            logs[start + 1] = most + math.log(math.fsum(p * math.exp(x - most) for x, p in steps))
+    if logs[-1] == -math.inf:
+        return
+    cut = array("d", [0.0]) * len(word) + array("d", [1.0])
+    for start in range(len(word) - 1, -1, -1):
+        for end, probs in starting(word, start, table, begun) if logs[start] > -math.inf else ():
+            if cut[end] and probs[lang]:
+                share = probs[lang] * cut[end] * math.exp(logs[start] - logs[end])
+                cut[start] += share
+                yield word[start:end], share
 
 
 class Model:
@@ -132,9 +146,8 @@ def learnt(docs: DataFrame, path: str, learn: Column, per_lang: int = TRAIN_DOCS
             counts: dict[tuple[str, bytes], int] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for word in text.as_py().split():
-                    plain = spelled(word)
-                    for at in range(0, len(plain), RUN_BYTES):
-                        key = (lang, plain[at : at + RUN_BYTES])
+                    key = (lang, spelled(word))
+                    if key[1]:
                         counts[key] = counts.get(key, 0) + 1
             if counts:
                 yield pa.RecordBatch.from_arrays(
@@ -156,10 +169,11 @@ def learnt(docs: DataFrame, path: str, learn: Column, per_lang: int = TRAIN_DOCS
             if table is None:
                 pieces = vocabulary(path)
                 table = {p: (1 / len(pieces),) * len(langs) for p in pieces}
+            begun = prefixes(table)
             for batch in batches:
                 totals: dict[tuple[str, bytes], float] = {}
                 for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
-                    for piece, share in expected_counts(word, table, langs.index(lang)):
+                    for piece, share in expected_counts(word, table, begun, langs.index(lang)):
                         totals[lang, piece] = totals.get((lang, piece), 0.0) + share * n
                 if totals:
                     yield pa.RecordBatch.from_arrays(
@@ -173,11 +187,11 @@ def learnt(docs: DataFrame, path: str, learn: Column, per_lang: int = TRAIN_DOCS
     return Model(langs, probs or {})
 
 
-def smoothed(expected: list, langs: list[str], pieces: dict[bytes, int], weight: float = 0.1) -> dict[bytes, tuple[float, ...]]:
-    """Pieces seen in any language, and all single bytes; each counts `weight` more."""
-    counts = {p: [weight] * len(langs) for p in pieces if len(p) == 1}
+def smoothed(expected: list, langs: list[str], pieces: list[bytes], weight: float = 0.1) -> dict[bytes, tuple[float, ...]]:
+    """Every piece of the vocabulary in every language; each counts `weight` more than expected."""
+    counts = {p: [weight] * len(langs) for p in pieces}
     for row in sorted(expected, key=lambda r: (bytes(r["piece"]), r["lang"])):
-        counts.setdefault(bytes(row["piece"]), [weight] * len(langs))[langs.index(row["lang"])] += row["n"]
+        counts[bytes(row["piece"])][langs.index(row["lang"])] += row["n"]
     totals = [math.fsum(c[i] for c in counts.values()) for i in range(len(langs))]
     return {p: tuple(x / t for x, t in zip(c, totals)) for p, c in counts.items()}
 
@@ -189,9 +203,10 @@ class Pieces:
     """
 
     def __init__(self, probs: dict[bytes, tuple[float, ...]], n_langs: int) -> None:
-        prefixes = sorted({p[:n] for p in probs for n in range(1, len(p) + 1)}, key=lambda p: (len(p), p))
-        node = {b"": 0} | {p: i + 1 for i, p in enumerate(prefixes)}
-        self.keys = np.array([node[p[:-1]] << 8 | p[-1] for p in prefixes], np.int64)
+        begun = sorted(prefixes(probs), key=lambda p: (len(p), p))
+        node = {b"": 0} | {p: i + 1 for i, p in enumerate(begun)}
+        self.longest = max(map(len, probs), default=0)
+        self.keys = np.array([node[p[:-1]] << 8 | p[-1] for p in begun], np.int64)
         self.piece = np.full(len(node), -1, np.int32)
         for i, p in enumerate(probs):
             self.piece[node[p]] = i
@@ -202,7 +217,7 @@ class Pieces:
         starts = np.arange(len(data), dtype=np.int32)
         node = np.zeros(len(data), np.int64)
         out = []
-        for depth in range(LONGEST_PIECE):
+        for depth in range(self.longest):
             inside = starts + depth < stops[starts]
             starts, node = starts[inside], node[inside]
             wanted = node << 8 | data[starts + depth]
@@ -245,7 +260,7 @@ class Pieces:
                 going = np.flatnonzero(sizes >= t)
                 last = sums[zero[going] + t]
                 scale = 1 / np.where(last > 0, last, 1.0)
-                for back in range(min(LONGEST_PIECE, t + 1)):
+                for back in range(min(self.longest, t + 1)):
                     sums[zero[going] + t - back] *= scale
                 logs[going] -= np.log(scale)
         with np.errstate(divide="ignore"):

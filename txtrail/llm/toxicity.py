@@ -76,7 +76,7 @@ def terms(text: str) -> set[str]:
     return words | {s for w in words if (s := stem(w))}
 
 
-def learnt_lexicon(labelled: DataFrame) -> Lexicon:
+def learnt_lexicon(labelled: DataFrame, most_terms: int = LEXICON_TERMS) -> Lexicon:
     """From text and label (0, 1): terms by how much more often toxic documents have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +100,7 @@ def learnt_lexicon(labelled: DataFrame) -> Lexicon:
         .withColumn("ratio", ratio)
         .where(F.col("ratio") >= MIN_RATIO)
         .orderBy(F.desc(F.col("toxic") * F.log("ratio")), "term")
-        .limit(LEXICON_TERMS)
+        .limit(most_terms)
         .collect()
     )
     weights = {w: 1.0 for w in INSULTS}
@@ -191,15 +191,23 @@ def features(docs: DataFrame, lexicon: Lexicon, rest: list[str] | None = None) -
 
 
 def sample(labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(doc_id, label): at most about `most` of the labelled rows, by the hash of the id."""
+    """(doc_id, label): at most about `most` of the labelled documents, by the hash of the id;
+    a document labelled more than once is 1 if any label says so."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
-    known = known.select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     n = known.count()
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
     return known.where(place < most / n) if n > most else known
 
 
-def scored(docs: DataFrame, labels: DataFrame, label: str, most: int = TRAIN_DOCS, rest: list[str] | None = None) -> DataFrame:
+def scored(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str,
+    most: int = TRAIN_DOCS,
+    rest: list[str] | None = None,
+    most_terms: int = LEXICON_TERMS,
+) -> DataFrame:
     """(doc_id, score) of each row: calibrated probability that `label` is 1.
 
     With `rest`, the text and a struct `rest` of those columns come along, so that rows can
@@ -207,8 +215,10 @@ def scored(docs: DataFrame, labels: DataFrame, label: str, most: int = TRAIN_DOC
 
     `labels` has doc_id and the label (0, 1; others and null are passed over) of the rows to
     learn from. Null and empty texts are scored by their features like any other. Where the
-    labelled rows are of one class only, or none, every score is that class, or 0. Columns
-    besides doc_id, text and the label are not looked at.
+    labelled rows are of one class only, or none, every score is that class, or 0. A
+    document with labels of both kinds counts as 1. The lexicon has the most_terms terms that
+    tell most. Whole texts count, however long. Columns besides doc_id, text and the label
+    are not looked at.
     """
     # a bounded set of ids, so it may be broadcast
     chosen = checkpointed(sample(labels, label, most))
@@ -218,7 +228,7 @@ def scored(docs: DataFrame, labels: DataFrame, label: str, most: int = TRAIN_DOC
     if len(classes) < 2:
         rows = docs.select("doc_id", "text", *([F.struct(*rest).alias("rest")] if rest else []))
         return rows.select(*along(rest), F.lit(float(classes[0]) if classes else 0.0).alias("score"))
-    lexicon = learnt_lexicon(learnt)
+    lexicon = learnt_lexicon(learnt, most_terms)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
     known = checkpointed(features(learnt, lexicon).join(chosen, "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5))))
     rows = assembler.transform(known).select("features", F.col("label").cast("double").alias("label"), "part")
