@@ -3,11 +3,13 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import txtrail
 from txtrail.options import TopicOptions, TrailOptions
 from txtrail.operators import state
+from txtrail.plans import jobs
 from txtrail.sources import handlers, tables
 from txtrail.sources.topics import encode_events, encode_tx
 from txtrail.streaming import ingest, online, reconcile
@@ -169,6 +171,51 @@ def test_per_record_handler_isolates_failures(spark, options, caplog):
     assert {(r.gtid, r.error) for r in rows} == {("a", None), ("b", "ValueError: not b")}
 
 
+def test_outcomes_of_calls_are_stored_and_failures_delivered_again(spark, options, caplog):
+    send_events(spark, options, "a", "b")
+    send_tx(spark, options, ("a", "1.."), ("b", "1.."))
+
+    def fussy(record):
+        if record["gtid"] == "b":
+            raise ValueError("not b")
+
+    trail = txtrail.build(spark, options)
+    trail.run_available(handlers.per_record(fussy))
+    shown = ["gtid", "part", "call_no", "kind", "error"]
+    first = {("a", 0, 1, None, None), ("b", 0, 1, "ValueError", "ValueError: not b")}
+    assert {tuple(r) for r in trail.outcomes().select(*shown).collect()} == first
+    times = trail.outcomes().join(trail.records(), ["gtid", "context", "time"])
+    assert times.count() == 2 and times.where("called < time").isEmpty()
+    logged = [r.getMessage() for r in caplog.records if "calls failed" in r.getMessage()]
+    assert len(logged) == 1 and "1 calls failed with ValueError" in logged[0]
+
+    def broken(record):
+        raise KeyError("call_no" in record)
+
+    # only what failed is called again; the same round twice is stored once
+    for _ in range(2):
+        jobs.redeliver(spark, options, broken, "again")
+    second = first | {("b", 0, 2, "KeyError", "KeyError: False")}
+    assert sorted(map(str, trail.outcomes().select(*shown).collect())) == sorted(str(Row(**dict(zip(shown, x)))) for x in second)
+    jobs.upkeep(spark, options)
+    jobs.redeliver(spark, options, lambda record: None, "last")
+    assert {tuple(r) for r in trail.outcomes().select(*shown).collect()} == second | {("b", 0, 3, None, None)}
+    jobs.redeliver(spark, options, broken, "nothing left")
+    assert trail.outcomes().count() == 4
+
+
+def test_records_without_an_outcome_are_delivered_when_asked_for(spark, options):
+    send_events(spark, options, "a")
+    send_tx(spark, options, ("a", "1.."))
+    trail = txtrail.build(spark, options)
+    trail.run_available()
+    assert trail.outcomes().isEmpty()
+    jobs.redeliver(spark, options, lambda record: None, "failed ones")
+    assert trail.outcomes().isEmpty()
+    jobs.redeliver(spark, options, lambda record: None, "all", missing=True)
+    assert [(r.gtid, r.call_no, r.error) for r in trail.outcomes().collect()] == [("a", 1, None)]
+
+
 def test_print_handler(spark, options, capfd):
     send_events(spark, options, "a")
     send_tx(spark, options, ("a", "1.."))

@@ -24,7 +24,7 @@ from txtrail.operators import snapshots, state
 from txtrail.options import EXPECTED_COUNT, QUIESCENT, TopicOptions, TrailOptions
 from txtrail.plans import fixtures as fx
 from txtrail.plans import reports
-from txtrail.plans.jobs import backfill, close_days_before, upkeep
+from txtrail.plans.jobs import backfill, close_days_before, redeliver, upkeep
 from txtrail.session import new_folder
 from txtrail.sources import bulk_text, handlers, tables, topics
 from txtrail.streaming import ingest, keyed, online, reconcile
@@ -716,6 +716,33 @@ def handler_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handlers.apply_per_record(records.audit_records(tx, events), refuse_deletions)
 
 
+def refuse_deletions_over(most: int):
+    def refuse(record: dict) -> None:
+        if sum(e["action"] == 2 for e in record["events"]) > most:
+            raise ValueError("deletion")
+
+    return refuse
+
+
+@query
+def handler_failures_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of a batch that ran twice, whose days were closed, and of a second round over
+    what failed."""
+    store = new_folder(spark, "store")
+    options = TrailOptions(store, f"{store}/checkpoints", time_zone="UTC", polls=0, tx_days=90)
+    ingested = F.lit("2024-03-01 12:00:00 UTC").cast("timestamp")
+    events = projections.to_stored_event(fx.envelopes(spark, sf_dir), ingested)
+    tables.append_events(events, store, "a", "UTC", merge=True)
+    tx = fx.notices(spark, sf_dir).withColumn("time", F.timestamp_seconds("time"))
+    handler = handlers.per_record(refuse_deletions_over(0))
+    for _ in range(2):
+        online.process_tx_batch(spark, options, tx, 7, handler, query="q")
+    upkeep(spark, options, dt.datetime(2024, 3, 2, tzinfo=UTC))
+    redeliver(spark, options, refuse_deletions_over(1), "second")
+    found = tables.read_outcomes(spark, store)
+    return found.select("gtid", "context", "part", "call_no", "kind", "error")
+
+
 # --- streams ---------------------------------------------------------------------------
 
 
@@ -755,6 +782,30 @@ def stream_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(f"{folder}/binlog")
 
 
+@query
+def stream_publish_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions to their topic; messages that are no notice, or have no usable id, apart."""
+    folder = new_folder(spark, "stream")
+    samples = fx.gtid_samples(spark, sf_dir)
+    notice = F.struct((F.col("id") + 1).alias("time"), F.concat(F.lit("id="), "id").alias("context"), "gtid")
+    message = F.when(F.col("id") % 7 == 3, F.concat(F.lit("no notice "), "id")).otherwise(F.to_json(notice))
+    source = landed(samples.select(message.alias("value")), f"{folder}/commits")
+    options = TrailOptions(f"{folder}/store", f"{folder}/checkpoints")
+    ingest.start_publish_tx(spark, options, source, TopicOptions("text", {"path": f"{folder}/tx_info"}), ONCE).awaitTermination()
+    ingest.start_tx_rejects(spark, options, source, ONCE).awaitTermination()
+    sent = spark.read.text(f"{folder}/tx_info").withColumn("reason", F.lit(None).cast("string"))
+    left_out = spark.read.schema("reason string, value string").json(ingest.quarantine_path(options.store, "unpublished_tx"))
+    every = sent.unionByName(left_out)
+    told = F.from_json("value", "time bigint, context string, gtid string")
+    return every.select(
+        "reason",
+        F.when(F.coalesce("reason", F.lit("")) == ingest.UNDECODABLE, F.col("value")).alias("message"),
+        told["time"].alias("seconds"),
+        told["context"].alias("context"),
+        told["gtid"].alias("gtid"),
+    )
+
+
 @query
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = stream_options(spark, sf_dir)

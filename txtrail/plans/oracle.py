@@ -486,6 +486,24 @@ ORACLE = {
            FROM tx_info t JOIN (SELECT gtid, count(*) FILTER (action = 2) AS d
              FROM binlog_event GROUP BY gtid) e ON t.gtid = e.gtid""",
     ),
+    "handler_failures_stored": _with(
+        _BOTH,
+        """SELECT t.gtid, t.context, 0 AS part, a.call_no,
+             CASE WHEN e.d >= a.call_no THEN 'ValueError' END AS kind,
+             CASE WHEN e.d >= a.call_no THEN 'ValueError: deletion' END AS error
+           FROM tx_info t JOIN (SELECT gtid, count(*) FILTER (action = 2) AS d
+             FROM binlog_event GROUP BY gtid) e ON t.gtid = e.gtid
+           JOIN (VALUES (1), (2)) a(call_no) ON a.call_no = 1 OR e.d > 0""",
+    ),
+    "stream_publish_tx": _with(
+        ["gtid_result"],
+        """SELECT CASE WHEN id % 7 = 3 THEN 'undecodable' WHEN NOT valid THEN 'invalid gtid' END AS reason,
+             CASE WHEN id % 7 = 3 THEN 'no notice ' || CAST(id AS VARCHAR) END AS message,
+             CASE WHEN id % 7 <> 3 THEN id + 1 END AS seconds,
+             CASE WHEN id % 7 <> 3 THEN 'id=' || CAST(id AS VARCHAR) END AS context,
+             CASE WHEN id % 7 <> 3 THEN gtid END AS gtid
+           FROM gtid_result""",
+    ),
     "stream_ingest": _with(
         _EV,
         """SELECT db, "table", action, gtid, data, CAST(epoch("time") AS BIGINT) AS event_seconds

@@ -79,6 +79,25 @@ TX_TABLE = T.StructType(
     ]
 )
 
+# What calls of a per-record handler gave, partitioned by (day, batch) of the record. `kind`
+# and `error` are NULL where the call went well; `call_no` counts the calls
+# of a record from 1.
+OUTCOME_TABLE = T.StructType(
+    [
+        T.StructField("time", T.TimestampType()),
+        T.StructField("context", T.StringType()),
+        T.StructField("gtid", T.StringType()),
+        T.StructField("part", T.IntegerType()),
+        T.StructField("call_no", T.IntegerType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("error", T.StringType()),
+        T.StructField("called", T.TimestampType()),
+        T.StructField("day", T.StringType()),
+        T.StructField("batch", T.StringType()),
+    ]
+)
+OUTCOME_KEY = ["gtid", "context", "time", "part"]
+
 AUDIT_EVENT = T.StructType(
     [
         T.StructField("db", T.StringType()),

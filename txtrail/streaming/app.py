@@ -11,7 +11,7 @@ from txtrail.operators.records import without_redeliveries
 from txtrail.options import KEYED_STATE, TrailOptions
 from txtrail.session import apply_recommended
 from txtrail.sources.handlers import Handler
-from txtrail.sources.tables import read_audit, read_events, read_tx_versions
+from txtrail.sources.tables import read_audit, read_events, read_outcomes, read_tx_versions
 from txtrail.streaming.ingest import start_ingest
 from txtrail.streaming.keyed import start_online_state
 from txtrail.streaming.online import start_online
@@ -51,6 +51,10 @@ class Trail:
     def records(self) -> DataFrame:
         return without_redeliveries(read_audit(self.spark, self.options.store))
 
+    def outcomes(self) -> DataFrame:
+        """What each call of a per-record handler gave."""
+        return read_outcomes(self.spark, self.options.store)
+
 
 def build(spark: SparkSession, options: TrailOptions) -> Trail:
     return Trail(apply_recommended(spark), options)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from txtrail.operators.filters import included_tables, row_events
-from txtrail.operators.projections import raw_to_event, to_stored_event
+from txtrail.functions.gtid import gtid_valid
+from txtrail.operators.filters import included_tables, row_events, valid_gtid
+from txtrail.operators.projections import new_tx, raw_to_event, to_stored_event
 from txtrail.options import TopicOptions, TrailOptions
 from txtrail.session import query_id
 from txtrail.sources.tables import append_events
@@ -17,12 +18,17 @@ from txtrail.sources.topics import (
     CORRUPT,
     decode_events,
     decode_raw,
+    decode_tx,
     encode_events,
+    encode_tx,
     good_rows,
     quarantine,
     read_topic,
 )
 
+# Why a transaction is not published.
+UNDECODABLE, INVALID_GTID = "undecodable", "invalid gtid"
+
 
 def topic_values(raw: DataFrame, tables: Sequence[str]) -> DataFrame:
     """Raw changes to topic messages: row changes of the included tables only.
@@ -55,17 +61,57 @@ def start_publish(
     Undecodable messages do not get there; `start_raw_quarantine` keeps them.
     """
     raw = good_rows(decode_raw(read_topic(spark, source)))
+    return _start(topic_values(raw, options.tables), "publish", sink, options, trigger)
+
+
+def _start(
+    values: DataFrame, name: str, sink: TopicOptions, options: TrailOptions, trigger: dict | None
+) -> StreamingQuery:
     return (
-        topic_values(raw, options.tables)
-        .writeStream.queryName("publish")
+        values.writeStream.queryName(name)
         .format(sink.format)
         .options(**sink.options)
-        .option("checkpointLocation", f"{options.checkpoints}/publish")
+        .option("checkpointLocation", f"{options.checkpoints}/{name}")
         .trigger(**(trigger or {"processingTime": f"{options.flush_interval} seconds"}))
         .start()
     )
 
 
+def notices(decoded: DataFrame) -> DataFrame:
+    """Notices as they go to the topic: without a time they are stamped with now."""
+    told = F.when(F.col("time") > 0, F.timestamp_seconds("time")).otherwise(F.current_timestamp())
+    return new_tx(decoded, F.col("context"), F.col("gtid"), told)
+
+
+def start_publish_tx(
+    spark: SparkSession,
+    options: TrailOptions,
+    source: TopicOptions,
+    sink: TopicOptions,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Committed transactions (context, gtid and maybe time) to the transactions topic.
+
+    Only those with a usable gtid get there; `start_tx_rejects` keeps the others.
+    """
+    sent = valid_gtid(notices(good_rows(decode_tx(read_topic(spark, source)))))
+    return _start(encode_tx(sent), "publish_tx", sink, options, trigger)
+
+
+def start_tx_rejects(
+    spark: SparkSession, options: TrailOptions, source: TopicOptions, trigger: dict | None = None
+) -> StreamingQuery:
+    """What `start_publish_tx` leaves out, as (reason, value) in a folder of JSON lines."""
+    decoded = decode_tx(read_topic(spark, source))
+    broken = F.col(CORRUPT).isNotNull()
+    out = decoded.where(broken | ~gtid_valid("gtid")).select(
+        F.when(broken, F.lit(UNDECODABLE)).otherwise(F.lit(INVALID_GTID)).alias("reason"),
+        F.when(broken, F.col(CORRUPT)).otherwise(F.to_json(F.struct("time", "context", "gtid"))).alias("value"),
+    )
+    sink = TopicOptions("json", {"path": quarantine_path(options.store, "unpublished_tx")})
+    return _start(out, "tx_rejects", sink, options, trigger)
+
+
 def start_raw_quarantine(
     spark: SparkSession,
     options: TrailOptions,

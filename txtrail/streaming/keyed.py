@@ -167,7 +167,7 @@ def process_outcomes(
     written = correlate(spark, options, ready, events, batch, as_of or dt.datetime.now(dt.timezone.utc), judged=True)
     events.unpersist()
     if handler is not None:
-        deliver(handler, written, batch_id)
+        deliver(handler, written, batch_id, options, batch)
     done = written.select(*TX_KEY).distinct().withColumn("_done", F.lit(True))
     # an expired notice was reported pending before
     told = decided.where(F.col("outcome") != EXPIRED).select(*TX_KEY).distinct()

@@ -50,7 +50,7 @@ def reconcile_once(
     events.unpersist()
     pending.unpersist()
     if handler is not None:
-        deliver(handler, written, batch_id)
+        deliver(handler, written, batch_id, options, batch)
     done = to_stored_tx(
         written.select(*TX_KEY).distinct(), STATUS_PROCESSED, F.unix_micros(now)
     )
