@@ -573,18 +573,10 @@ def update_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def bulk_text_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All parts, with tabs, line breaks, backslashes and NULLs, written and loaded again."""
-    kind = F.col("p_partkey") % 4
-    odd = (
-        F.when(kind == 0, F.concat(F.lit("a\tb\\"), F.col("p_name")))
-        .when(kind == 1, F.concat(F.col("p_name"), F.lit("\n\\t")))
-        .when(kind == 2, F.col("p_name"))
-    )
+def _loaded_again(spark: SparkSession, sf_dir: str, text: Column, continued: bool) -> DataFrame:
     folder = new_folder(spark, "bulk")
-    parts = fx.table(spark, sf_dir, "part")
-    bulk_text.write_bulk_text(parts.select("p_partkey", odd.alias("text"), "p_size"), folder)
+    parts = fx.table(spark, sf_dir, "part").select("p_partkey", text.alias("text"), "p_size")
+    bulk_text.write_bulk_text(parts, folder, continued)
     schema = T.StructType(
         [
             T.StructField("p_partkey", T.LongType(), False),
@@ -598,6 +590,25 @@ def bulk_text_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def bulk_text_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts, with tabs, line breaks, backslashes and NULLs, written and loaded again."""
+    kind = F.col("p_partkey") % 4
+    odd = (
+        F.when(kind == 0, F.concat(F.lit("a\tb\\"), F.col("p_name")))
+        .when(kind == 1, F.concat(F.col("p_name"), F.lit("\n\\t")))
+        .when(kind == 2, F.col("p_name"))
+    )
+    return _loaded_again(spark, sf_dir, odd, continued=False)
+
+
+@query
+def bulk_text_continued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts, their fields going on over up to seven lines."""
+    breaks = F.repeat(F.lit("\n"), (F.col("p_partkey") % 7).cast("int"))
+    return _loaded_again(spark, sf_dir, F.concat(F.col("p_name"), breaks, F.lit("\\")), continued=True)
+
+
 # --- stored tables and delivery ----------------------------------------------------------
 
 

@@ -450,6 +450,10 @@ ORACLE = {
                  WHEN 1 THEN p_name || chr(10) || '\\t' WHEN 2 THEN p_name END AS "text",
                p_size, true AS fits
         FROM part""",
+    "bulk_text_continued": """
+        SELECT p_partkey, p_name || repeat(chr(10), CAST(p_partkey % 7 AS INTEGER)) || '\\' AS "text",
+               p_size, true AS fits
+        FROM part""",
     "stored_events": _with(
         _EV,
         """SELECT '20240301' AS day, CASE "table" WHEN 'line_open' THEN 'a' ELSE 'b' END AS batch,
