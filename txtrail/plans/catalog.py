@@ -27,7 +27,7 @@ from txtrail.plans import reports
 from txtrail.plans.jobs import backfill, close_days_before, redeliver, upkeep
 from txtrail.session import new_folder
 from txtrail.sources import bulk_text, handlers, tables, topics
-from txtrail.streaming import ingest, keyed, online, reconcile
+from txtrail.streaming import ingest, keyed, lag, online, reconcile
 from txtrail.streaming import joins as stream_joins
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -998,3 +998,36 @@ def stream_quiescent(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
 
+
+LAG_STREAM = T.StructType(
+    [
+        T.StructField("db", T.StringType()),
+        T.StructField("table", T.StringType()),
+        T.StructField("gtid", T.StringType()),
+        T.StructField("event_time", T.TimestampType()),
+        T.StructField("ingest_time", T.TimestampType()),
+    ]
+)
+
+
+@query
+def stream_lag_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that come up to 5000 s late every third day, checked each hour over two hours."""
+    folder = new_folder(spark, "stream")
+    late = F.when(F.dayofmonth("ts") % 3 == 0, F.col("event_id") % 5000).otherwise(F.col("event_id") % 100)
+    events = fx.table(spark, sf_dir, "events").select(
+        F.lit("web").alias("db"),
+        F.col("event_type").alias("table"),
+        F.lit("").alias("gtid"),
+        F.col("ts").alias("event_time"),
+        (F.col("ts") + F.make_dt_interval(secs=late.cast("decimal(18,6)"))).alias("ingest_time"),
+    )
+    stream = timed_stream(events, f"{folder}/events", "ingest_time", LAG_STREAM)
+    checks = lag.lag_checks(stream, "2 hours", "1 hour")
+    lag.write_checks(checks, folder, f"{folder}/checkpoints", ONCE).awaitTermination()
+    stored = lag.read_checks(spark, folder)
+    alerts = lag.lag_alerts(stored, threshold_seconds=3000, raise_after=3, clear_after=2)
+    lag.write_alerts(alerts, folder, f"{folder}/checkpoints", ONCE).awaitTermination()
+    return spark.read.schema(lag.ALERT).json(lag.alerts_path(folder)).select(
+        "db", "table", F.date_format("checked", "yyyy-MM-dd HH:mm").alias("checked"), "alert", "max_lag_seconds"
+    )

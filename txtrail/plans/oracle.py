@@ -534,6 +534,23 @@ ORACLE = {
               AND e.event_time >= t."time" - INTERVAL 6 HOURS
               AND e.event_time <= t."time" + INTERVAL 6 HOURS""",
     ),
+    "stream_lag_alerts": """
+        WITH checks AS (
+          SELECT event_type, date_trunc('hour', ts + to_seconds(late)) + to_hours(k) AS checked, max(late) AS late
+          FROM (SELECT *, CASE WHEN day(ts) % 3 = 0 THEN event_id % 5000 ELSE event_id % 100 END AS late
+                FROM events), (VALUES (1), (2)) AS ends(k)
+          GROUP BY 1, 2),
+        streaks AS (
+          SELECT *, count(*) FILTER (late > 3000) OVER (PARTITION BY event_type ORDER BY checked ROWS 2 PRECEDING) AS beyond,
+            count(*) FILTER (late <= 3000) OVER (PARTITION BY event_type ORDER BY checked ROWS 1 PRECEDING) AS within
+          FROM checks),
+        marks AS (
+          SELECT *, CASE WHEN beyond = 3 THEN 'raised' ELSE 'cleared' END AS alert
+          FROM streaks WHERE beyond = 3 OR within = 2)
+        SELECT 'web' AS db, event_type AS "table", strftime(checked, '%Y-%m-%d %H:%M') AS checked, alert,
+          late AS max_lag_seconds
+        FROM (SELECT *, lag(alert, 1, 'cleared') OVER (PARTITION BY event_type ORDER BY checked) AS before FROM marks)
+        WHERE alert <> before""",
     "stream_quiescent": _with(
         ["user_events"],
         f"""SELECT gtid, strftime(min(event_time), {_MICROS}) AS first_time,

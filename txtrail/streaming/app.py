@@ -14,6 +14,7 @@ from txtrail.sources.handlers import Handler
 from txtrail.sources.tables import read_audit, read_events, read_outcomes, read_tx_versions
 from txtrail.streaming.ingest import start_ingest
 from txtrail.streaming.keyed import start_online_state
+from txtrail.streaming.lag import start_lag_alerts, start_lag_checks
 from txtrail.streaming.online import start_online
 from txtrail.streaming.reconcile import start_reconcile, start_upkeep
 
@@ -30,7 +31,11 @@ class Trail:
             self._online(handler),
             start_reconcile(self.spark, self.options, handler),
         ]
-        return jobs + ([start_upkeep(self.spark, self.options)] if self.options.upkeep_interval else [])
+        if self.options.upkeep_interval:
+            jobs.append(start_upkeep(self.spark, self.options))
+        if self.options.lag_alert_seconds is not None:
+            jobs += [start_lag_checks(self.spark, self.options), start_lag_alerts(self.spark, self.options)]
+        return jobs
 
     def run_available(self, handler: Handler | None = None) -> None:
         """Works through what the topics hold now: events first, then transactions."""
