@@ -95,3 +95,9 @@ def test_long_include_list_is_a_join_with_the_same_result(spark):
     df = spark.createDataFrame([("d", "t7"), ("d", "t"), ("e", "t7")], "db string, `table` string")
     kept = filters.included_tables(df, [f"d.t{n}" for n in range(filters.MAX_INLINE_TABLES + 1)])
     assert [tuple(r) for r in kept.collect()] == [("d", "t7")]
+
+
+def test_offsets_are_refused_where_nothing_has_them(spark, tmp_path):
+    topic = TopicOptions("text", {"path": str(tmp_path)}, offsets={"binlog": {"0": 23}})
+    with pytest.raises(ValueError, match="no offsets"):
+        topics.read_topic(spark, topic)

@@ -26,11 +26,17 @@ def start_position(topic: TopicOptions) -> dict[str, str]:
 
 
 def read_topic(spark: SparkSession, topic: TopicOptions) -> DataFrame:
-    """Stream with one STRING column `value`. File formats need no start position."""
+    """Stream with one STRING column `value`.
+
+    Formats other than Kafka start where their own options say, files with the oldest;
+    explicit offsets would be lost on them and are refused.
+    """
     reader = spark.readStream.format(topic.format).options(**topic.options)
     if topic.format == "kafka":
         reader = reader.options(**start_position(topic))
         return reader.load().select(F.col("value").cast("string").alias("value"))
+    if topic.offsets is not None:
+        raise ValueError(f"a topic of format {topic.format!r} has no offsets to start from")
     return reader.load().select("value")
 
 
