@@ -757,10 +757,20 @@ def handler_failures_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams ---------------------------------------------------------------------------
 
 
-def landed(df: DataFrame, folder: str, files: int = 4) -> TopicOptions:
-    """Messages written as a folder of text files, read two files at a time."""
+# A file of messages holds about this many, so that none grows with the input.
+MESSAGES_PER_FILE = 250_000
+
+
+def files_of(df: DataFrame, least: int) -> int:
+    """Number of files for the messages; a count of a projected table reads no columns."""
+    return max(least, -(-df.count() // MESSAGES_PER_FILE))
+
+
+def landed(df: DataFrame, folder: str) -> TopicOptions:
+    """Messages written as a folder of text files, at least four, read in two batches."""
+    files = files_of(df, 4)
     topics.write_topic(df.repartition(files), "text", {"path": folder})
-    return TopicOptions("text", {"path": folder, "maxFilesPerTrigger": "2"})
+    return TopicOptions("text", {"path": folder, "maxFilesPerTrigger": str(-(-files // 2))})
 
 
 def stream_options(spark: SparkSession, sf_dir: str, **more) -> TrailOptions:
@@ -894,8 +904,9 @@ def stream_online_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         keyed.messages(arrived(tx.limit(0), "1 12:00:00"), arrived(events.where(~odd), "1 13:00:00")),
         keyed.messages(arrived(tx.limit(0), "1 12:00:00"), arrived(clock, "5 12:00:00")),
     ]
+    files = files_of(tx, 8), files_of(events, 8)
     for n, step in enumerate(steps):
-        step.repartition(8).write.mode("append").parquet(f"{folder}/messages/{n}")
+        step.repartition(max(files)).write.mode("append").parquet(f"{folder}/messages/{n}")
         stream = spark.readStream.schema(KEYED_MESSAGES).parquet(f"{folder}/messages/*")
         decided = drained(keyed.outcomes(stream), folder)
     # the id of the clock is no transaction

@@ -1,7 +1,9 @@
 """Online correlation as keyed state with timers: no look is repeated, nothing waits.
 
 For each gtid the state holds how many events have arrived, when the last one did, and the
-notices that are still open: a few numbers, never the events. A notice gets its record as
+notices that are still open: a few numbers, never the events. The gtids of one hash bucket
+share a row of state and a Python call, as a call costs far more than the work for a gtid;
+each is judged by itself. A notice gets its record as
 soon as its events are complete, is reported pending when its grace has passed, stays open
 for late events, and expires with the lookback. Time is the arrival of messages, carried
 as a watermark, so timers also fire for keys nothing arrives for any more.
@@ -13,10 +15,12 @@ complete; one whose events are not all stored yet is left to the reconcile job.
 from __future__ import annotations
 
 import datetime as dt
+import sys
 from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,11 +35,20 @@ from txtrail.sources.tables import append_tx
 from txtrail.sources.topics import decode_events, decode_tx, good_rows, read_topic
 from txtrail.streaming.online import TX_KEY, candidate_events, correlate
 
+# Executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RECORD, PENDING, EXPIRED = "record", "pending", "expired"
 
 OUTCOME = "gtid string, context string, time timestamp, outcome string, n_events bigint"
-# per open notice: its time and arrival, whether it was reported pending
-STATE = "n_events bigint, last bigint, contexts array<string>, times array<bigint>, since array<bigint>, told array<boolean>"
+# of a bucket: its gtids with their events, and its open notices, each with the place of its
+# gtid, its time and arrival, and whether it was reported pending
+STATE = (
+    "gtids array<string>, n_events array<bigint>, lasts array<bigint>,"
+    " owners array<int>, contexts array<string>, times array<bigint>, since array<bigint>, told array<boolean>"
+)
+# Part of the state's key: another number needs a new checkpoint.
+BUCKETS = 1024
 MESSAGE_FIELDS = ["gtid", "context", "time", "arrived"]
 
 _MILLIS = 1000
@@ -68,7 +81,7 @@ def outcomes(
     later messages are dropped by the watermark, so stamp them on reading. A null gtid is a
     key like any other.
     """
-    judge = _judge(
+    judge = _judge_bucket(
         completeness,
         {str(k): v for k, v in (expected_counts or {}).items()},
         int(grace_seconds * _MILLIS),
@@ -78,15 +91,18 @@ def outcomes(
     )
     return (
         stream.select(*MESSAGE_FIELDS)
+        .withColumn("bucket", F.pmod(F.xxhash64("gtid"), F.lit(BUCKETS)).cast("int"))
         .withWatermark("arrived", delay)
-        .groupBy("gtid")
+        .groupBy("bucket")
         .applyInPandasWithState(judge, OUTCOME, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
-def _judge(
+def _decide(
     completeness: str, expected: dict[str, int], grace: int, quiet: int, lookback: int, keep: int
-) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+) -> Callable[[int, int, list[tuple], int], tuple[list[tuple], list[tuple], int | None]]:
+    """What is found for one gtid, the notices left open, and when to look again (None: never)."""
+
     def complete(context: str, n_events: int, last: int, now: int) -> bool:
         if completeness == ANY:
             return n_events > 0
@@ -94,19 +110,7 @@ def _judge(
             return n_events >= expected.get(context.split(".", 1)[0], 1)
         return n_events > 0 and last + quiet <= now
 
-    def judge(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n_events, last, *lists = state.get if state.exists else (0, 0, [], [], [], [])
-        open_ = list(zip(*lists))
-        for chunk in chunks:
-            contexts = chunk["context"].tolist()
-            arrived = chunk["arrived"].to_numpy().astype("datetime64[ms]").astype("int64").tolist()
-            times = chunk["time"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
-            for context, time, since in zip(contexts, times, arrived):
-                if context is None:
-                    n_events, last = n_events + 1, max(last, since)
-                elif all((context, time) != (o[0], o[1]) for o in open_):
-                    open_.append((context, time, since, False))
-        now = state.getCurrentWatermarkMs()
+    def decide(n_events: int, last: int, open_: list[tuple], now: int) -> tuple[list[tuple], list[tuple], int | None]:
         found, left, timers = [], [], []
         for context, time, since, told in open_:
             if complete(context, n_events, last, now):
@@ -123,23 +127,83 @@ def _judge(
             if n_events and completeness not in (ANY, EXPECTED_COUNT):
                 timers.append(last + quiet)
         if not left and (not n_events or last + keep <= now):
-            state.remove()
+            return found, left, None
+        # without a notice, the count goes when its time has come
+        return found, left, max(now + 1, min(timers or [last + keep]))
+
+    return decide
+
+
+def _messages_of(chunk: pd.DataFrame) -> Iterator[tuple[str | None, int, int]]:
+    """(context, time, arrived) of each message, in microseconds and milliseconds."""
+    arrived = chunk["arrived"].to_numpy().astype("datetime64[ms]").astype("int64").tolist()
+    times = chunk["time"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+    return zip(chunk["context"].tolist(), times, arrived)
+
+
+def _outcome_rows(found: list[tuple]) -> pd.DataFrame:
+    gtids, contexts, times, kinds, counts = zip(*found)
+    return pd.DataFrame(
+        {
+            "gtid": gtids,
+            "context": contexts,
+            "time": np.array(times, "datetime64[us]"),
+            "outcome": kinds,
+            "n_events": counts,
+        }
+    )
+
+
+def _judge(
+    completeness: str, expected: dict[str, int], grace: int, quiet: int, lookback: int, keep: int
+) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Judge of a single gtid, the key of its chunks."""
+    judge_bucket = _judge_bucket(completeness, expected, grace, quiet, lookback, keep)
+
+    def judge(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return judge_bucket((0,), (chunk.assign(gtid=key[0]) for chunk in chunks), state)
+
+    return judge
+
+
+def _judge_bucket(
+    completeness: str, expected: dict[str, int], grace: int, quiet: int, lookback: int, keep: int
+) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    decide = _decide(completeness, expected, grace, quiet, lookback, keep)
+
+    def judge(_: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # gtid -> [events, arrival of the last, open notices]
+        known: dict[str | None, list] = {}
+        if state.exists:
+            gtids, counts, lasts, owners, *notices = (list(column) for column in state.get)
+            for gtid, n_events, last in zip(gtids, counts, lasts):
+                known[gtid] = [n_events, last, []]
+            for owner, *notice in zip(owners, *notices):
+                known[gtids[owner]][2].append(tuple(notice))
+        for chunk in chunks:
+            for gtid, (context, time, since) in zip(chunk["gtid"].tolist(), _messages_of(chunk)):
+                entry = known.setdefault(gtid, [0, 0, []])
+                if context is None:
+                    entry[0], entry[1] = entry[0] + 1, max(entry[1], since)
+                elif all((context, time) != (o[0], o[1]) for o in entry[2]):
+                    entry[2].append((context, time, since, False))
+        now = state.getCurrentWatermarkMs()
+        found, kept, open_, timers = [], [], [], []
+        for gtid, (n_events, last, notices) in known.items():
+            decided, left, timer = decide(n_events, last, notices, now)
+            found += [(gtid, *outcome, n_events) for outcome in decided]
+            if timer is not None:
+                open_ += [(len(kept), *notice) for notice in left]
+                kept.append((gtid, n_events, last))
+                timers.append(timer)
+        if kept:
+            notices = [list(c) for c in zip(*open_)] or [[], [], [], [], []]
+            state.update((*(list(c) for c in zip(*kept)), *notices))
+            state.setTimeoutTimestamp(min(timers))
         else:
-            columns = [list(c) for c in zip(*left)] or [[], [], [], []]
-            state.update((n_events, last, *columns))
-            # without a notice, the count goes when its time has come
-            state.setTimeoutTimestamp(max(now + 1, min(timers or [last + keep])))
+            state.remove()
         if found:
-            contexts, times, kinds = zip(*found)
-            yield pd.DataFrame(
-                {
-                    "gtid": [key[0]] * len(found),
-                    "context": contexts,
-                    "time": np.array(times, "datetime64[us]"),
-                    "outcome": kinds,
-                    "n_events": n_events,
-                }
-            )
+            yield _outcome_rows(found)
 
     return judge
 
