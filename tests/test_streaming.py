@@ -290,3 +290,15 @@ def test_topic_values_are_the_same_for_stream_and_table(spark, tmp_path):
     (message,) = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert base64.b64decode(message["data"]) == b'{"before":{},"after":{"n":1,"s":"x"}}'
     assert (message["db"], message["table"], message["action"]) == ("d", "t", 0)
+
+
+def test_landed_messages_make_more_files_when_there_are_more(spark, tmp_path, monkeypatch):
+    from txtrail.plans import catalog
+
+    monkeypatch.setattr(catalog, "MESSAGES_PER_FILE", 100)
+    messages = spark.range(1000).selectExpr("CAST(id AS STRING) AS value")
+    topic = catalog.landed(messages, str(tmp_path / "many"))
+    assert len(list((tmp_path / "many").glob("part-*"))) == 10
+    # still two batches
+    assert topic.options["maxFilesPerTrigger"] == "5"
+    assert catalog.landed(messages.limit(5), str(tmp_path / "few")).options["maxFilesPerTrigger"] == "2"
