@@ -19,6 +19,7 @@ from tokenizers import Tokenizer
 
 from txtrail.llm import bpe, langid, maxscore, packing, quality, recipes, repeats, simhash, toxicity, urlrules
 from txtrail.llm.catalog import LANGUAGE_PIECES, TOKENIZER, URL_RULES
+from txtrail.llm.common import marked_by
 
 PATH = public_tokenizers.path(TOKENIZER)
 WORDS = "stone river lamp north paper glass wind salt ember field".split()
@@ -142,6 +143,30 @@ def test_similar_pairs_are_found(documents, kind):
     assert sum(found[2 * i + 1] == 2 * i for i in alike) >= 0.99 * len(alike)
 
 
+def test_pairs_of_one_text_are_dealt_out_to_several_groups(documents, monkeypatch):
+    monkeypatch.setattr(simhash, "HUB_PAIRS", 3)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(500)}" for _ in range(60)]
+    rows = [(0, " ".join(base))] + [(i, " ".join(base[: 60 - i] + ["x"] * i)) for i in range(1, 25)] + [(25, None)]
+    docs = documents(rows + [(4, "another text under the same id")])
+    known = simhash.wide_fingerprints(docs, 5).select(F.col("doc_id").alias("v"), "g").collect()
+    pairs = [(0, k.g, o.v, o.g) for k in known if k.v == 0 for o in known if o.v]
+    found = simhash.verified(docs, docs.sparkSession.createDataFrame(pairs, "xv long, xg long, yv long, yg long"), 5, 0.8)
+    counts = [five_word_counts(text) for _, text in rows]
+    expected = {(0, i) for i in range(1, 26) if cosine(counts[0], counts[i]) >= 0.8 - 1e-9}
+    assert 3 < len(expected) < 24 and {tuple(r) for r in found.collect()} == expected
+
+
+def test_rows_without_a_mark_have_none_of_the_ids(documents):
+    docs = documents([(i, "x") for i in range(2000)] + [(None, "y")])
+    ids = docs.where("doc_id % 100 = 7").select("doc_id")
+    marked = marked_by(docs, ids, "doc_id")
+    assert marked.count() == 2001 and marked.columns == [*docs.columns, "_marked"]
+    assert marked.where("_marked and doc_id % 100 = 7").count() == 20
+    assert marked.where("_marked").count() < 400
+    assert marked_by(docs, ids.where("false"), "doc_id").where("_marked").isEmpty()
+
+
 def test_similarity_of_just_the_threshold_and_rows_that_repeat(documents):
     one, four = "a b c d e", "a b c d e f g h i"  # four: five shingles, one of them that of `one`
     nine = "a b c d e f g h x"  # four of these five are those of `four`

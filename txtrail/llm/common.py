@@ -17,6 +17,9 @@ from txtrail.session import checkpointed, new_folder
 # A group is hot from this share of all rows on; there are at most 1 / HOT_SHARE hot groups.
 HOT_SHARE = 1 / 256
 
+# Bits that tell which rows may have one of some ids are at most so many 64-bit words.
+MARK_WORDS = 1 << 18
+
 # Texts are handled in slices of about this many characters inside a task.
 SLICE_CHARS = 4 << 20
 
@@ -129,6 +132,23 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     return joined.select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in columns])
 
 
+def marked_by(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows with `_marked`: false where `ids` surely has not got the key.
+
+    Ids set bits at their hashes, and the bits are broadcast; there are about 16 for each id,
+    but at most 64 * MARK_WORDS. So of a large table few rows need be shuffled for a join.
+    """
+    words = min(MARK_WORDS, max(16, ids.count() // 4))
+    place = F.pmod(F.xxhash64(key), F.lit(64 * words))
+    places = ids.select(place.alias("_place")).distinct()
+    word, bit = F.floor(F.col("_place") / 64).alias("_word"), (F.col("_place") % 64).cast("int")
+    bits = places.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("_bits"))
+    looked = rows.withColumn("_place", place).withColumn("_word", F.floor(F.col("_place") / 64))
+    found = looked.join(F.broadcast(checkpointed(bits)), "_word", "left")
+    set_ = F.coalesce(F.getbit("_bits", bit) == 1, F.lit(False))
+    return found.withColumn("_marked", set_).select(*rows.columns, "_marked")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, root): the smallest vertex each vertex of an edge reaches.
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txtrail.llm.common import components, join_groups, sliced
+from txtrail.llm.common import components, join_groups, marked_by, sliced
 from txtrail.session import checkpointed
 
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -372,11 +372,11 @@ def band_keys(distinct: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, g, q, u, s, bands): a digest of the shingle counts, the sum of their squares,
-    64 bits over the distinct words of each whole text, 256 bits and keys over its shingles."""
+    """(doc_id, g, u, s, bands): a digest of the shingle counts, 64 bits over the distinct
+    words of each whole text, 256 bits and keys over its shingles."""
     from pyspark.sql import types as T
 
-    longs = [T.StructField(n, T.LongType()) for n in ("g", "q", "u", *SHINGLE_BITS)]
+    longs = [T.StructField(n, T.LongType()) for n in ("g", "u", *SHINGLE_BITS)]
     schema = T.StructType([docs.schema["doc_id"], *longs, T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,34 +389,17 @@ def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
                 of_words.add(np.array(digests, np.uint64))
                 every, distinct, counts = shingle_counts(data, shingle)
                 of_shingles.add(every)
-                square = int((counts.astype(np.int64) ** 2).sum())
-                rows.append([counts_digest(distinct, counts), square, of_words.value()[0], *of_shingles.value()])
+                rows.append([counts_digest(distinct, counts), of_words.value()[0], *of_shingles.value()])
                 bands.append(band_keys(distinct))
-            columns = [pa.array(np.ascontiguousarray(c)) for c in np.array(rows, np.int64).reshape(-1, 3 + WIDE).T]
+            columns = [pa.array(np.ascontiguousarray(c)) for c in np.array(rows, np.int64).reshape(-1, 2 + WIDE).T]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(bands, pa.list_(pa.int64()))], schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def shingle_rows(texts: DataFrame, shingle: int) -> DataFrame:
-    """(g, h, c): how often each shingle occurs, of the texts whose digest is g."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            for g, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = text.as_buffer().to_pybytes().translate(LOWER) if text.is_valid else b""
-                _, distinct, counts = shingle_counts(data, shingle)
-                if counts_digest(distinct, counts) != g:
-                    continue  # another text under the same doc_id
-                for at in range(0, len(distinct), 65_536):
-                    h, c = distinct[at : at + 65_536].view(np.int64), counts[at : at + 65_536].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), g, np.int64)), pa.array(h), pa.array(c)], ["g", "h", "c"])
-
-    return texts.select("g", "text").mapInArrow(run, "g bigint, h bigint, c bigint")
-
-
 SHINGLE_BITS = [f"s{i}" for i in range(WIDE)]
-SIDE = ["v", "g", "m", "q"]  # what a candidate pair knows of each of its two groups
+# Texts that meet one text in one group; a text with more pairs is sent to several groups.
+HUB_PAIRS = 1000
 
 
 def wide_distance(a: str, b: str) -> Column:
@@ -425,32 +408,66 @@ def wide_distance(a: str, b: str) -> Column:
 
 def met_by(groups: DataFrame, role: str) -> DataFrame:
     """Each group once for each Golay key of its words and each key of its shingles."""
-    rest = [c for c in groups.columns if c != "bands"]
+    rest = [c for c in groups.columns if c not in ("u", "bands")]
     by_shingles = groups.select(F.explode("bands").alias("key"), *rest)
-    return keyed(groups.select(*rest), role, "u").union(by_shingles).drop("u")
+    return keyed(groups.select(*rest, "u"), role, "u").drop("u").union(by_shingles)
+
+
+def similar_to_hub(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): the hub of a group and the texts of the group with that cosine similarity to it.
+
+    `rows` has (hub, salt, other, g, v, text): a group is a hub and a salt, its hub comes
+    first. One text besides the hub is looked at at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, low, known, norm = None, None, (np.empty(0, np.uint64), np.empty(0, np.int64)), 0
+        for batch in sliced(batches):
+            left, right = [], []
+            columns = [batch.column(i) for i in range(5)]
+            for i, (hub, salt, other, g, v) in enumerate(zip(*(c.to_pylist() for c in columns))):
+                if not other and group == (hub, salt):
+                    continue  # the hub again
+                text = batch.column(5)[i]
+                data = text.as_buffer().to_pybytes().translate(LOWER) if text.is_valid else b""
+                _, distinct, counts = shingle_counts(data, shingle)
+                if counts_digest(distinct, counts) != g:
+                    continue  # another text under the same doc_id
+                square = int((counts.astype(np.int64) ** 2).sum())
+                if not other:
+                    group, low, known, norm = (hub, salt), v, (distinct, counts.astype(np.int64)), square
+                elif group == (hub, salt):
+                    _, here, there = np.intersect1d(known[0], distinct, assume_unique=True, return_indices=True)
+                    product = int((known[1][here] * counts[there]).sum())
+                    # a similarity of just that value is not lost to rounding
+                    if product and product * (1 + 1e-12) >= similarity * np.sqrt(float(norm) * float(square)):
+                        left.append(low)
+                        right.append(v)
+            kind = batch.column(4).type
+            yield pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind)], ["a", "b"])
+
+    id_type = rows.schema["v"].dataType.simpleString()
+    return rows.select("hub", "salt", "other", "g", "v", "text").mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(a, b): the documents of those pairs whose shingle counts have that cosine similarity.
 
-    `pairs` has structs x and y of SIDE. The product of two texts is added up over the
-    shingles that both have; m equal rows of a doc_id count m times in it.
+    `pairs` has (xv, xg, yv, yg), documents and their groups. Texts travel and not their
+    shingles, which take several times the room: each x is the hub of groups of at most about
+    HUB_PAIRS texts, so one with very many pairs is not bound to one task.
     """
-    pairs = checkpointed(pairs.select("x", "y").distinct())
-    wanted = pairs.select("x.v", "x.g").union(pairs.select("y.v", "y.g")).distinct()
-    texts = docs.select(F.col("doc_id").alias("v"), "text").join(wanted, "v")
-    counted = shingle_rows(texts, shingle)
-    ids = pairs.select(F.col("x.g").alias("xg"), F.col("y.g").alias("yg"))
-    # the smaller document may be in many pairs: it meets them shingle by shingle
-    of_y = counted.select(F.col("g").alias("yg"), "h", F.col("c").alias("yc")).join(ids, "yg")
-    of_x = counted.select(F.col("g").alias("xg"), "h", F.col("c").alias("xc"))
-    products = of_y.join(of_x, ["xg", "h"]).groupBy("xg", "yg").agg(F.sum(F.col("xc") * F.col("yc")).alias("product"))
-    known = pairs.withColumn("xg", F.col("x.g")).withColumn("yg", F.col("y.g")).join(products, ["xg", "yg"])
-    times = F.col("x.m").cast("double") * F.col("y.m")
-    least = similarity * F.sqrt(F.col("x.q").cast("double") * F.col("y.q")) * times
-    # a similarity of just that value is not lost to rounding
-    linked = known.where(F.col("product") * (1 + 1e-12) >= least)
-    return linked.select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct()
+    pairs = checkpointed(pairs.select("xv", "xg", "yv", "yg").distinct())
+    sizes = checkpointed(pairs.groupBy("xg").agg(F.count("*").alias("n_pairs")))
+    salts = F.ceil(F.col("n_pairs") / HUB_PAIRS)
+    dealt = join_groups(pairs, sizes, "xg", "n_pairs").withColumn("salt", F.pmod(F.xxhash64("yg"), salts))
+    hubs = dealt.select(F.col("xv").alias("v"), F.col("xg").alias("g"), F.col("xg").alias("hub"), "salt", F.lit(False).alias("other"))
+    others = dealt.select(F.col("yv").alias("v"), F.col("yg").alias("g"), F.col("xg").alias("hub"), "salt", F.lit(True).alias("other"))
+    asked = checkpointed(hubs.distinct().union(others))
+    texts = docs.select(F.col("doc_id").alias("v"), "text")
+    met = marked_by(texts, asked, "v").where("_marked").drop("_marked").join(asked, "v")
+    grouped = met.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "other")
+    return similar_to_hub(grouped, shingle, similarity).distinct()
 
 
 def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -467,38 +484,47 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = SI
     shingle counts are one group.
 
     Links to the smallest document of a key come first; from then on only pairs of different
-    components are compared, so dense groups do not emit their pairs.
+    components are compared, so dense groups do not emit their pairs. Rows for a key are as
+    narrow as they can be, as there are dozens of them for each document.
     """
     most = int(256 * np.arccos(similarity) / np.pi) + MARGIN
     docs = docs.where(F.col("doc_id").isNotNull())
     rows = checkpointed(wide_fingerprints(docs, shingle))
     bits = ["u", *SHINGLE_BITS]
-    same = rows.groupBy("g", "doc_id").agg(F.count("*").alias("m"), F.min(F.struct("q", *bits, "bands")).alias("of"))
-    least = same.groupBy("g").agg(F.min(F.struct("doc_id", "m", "of")).alias("low"), F.sum("m").alias("n"))
-    groups = checkpointed(least.select(F.col("low.doc_id").alias("v"), "g", "low.m", "low.of.*", "n"))
-    side = lambda of: F.struct(*[F.col(f"{of}.{c}").alias(c) for c in SIDE])
-
-    near = checkpointed(met_by(groups.drop("n"), "nearest"))
-    lowest = near.groupBy("key").agg(F.min(F.struct(*SIDE, *SHINGLE_BITS)).alias("low"), F.count("*").alias("n_key"))
-    stars = join_groups(near, checkpointed(lowest.where("n_key > 1")), "key", "n_key").where("low.v < v").alias("b")
-    close = sum((F.bit_count(F.col(f"b.{s}").bitwiseXOR(F.col(f"b.low.{s}"))) for s in SHINGLE_BITS), F.lit(0)) <= most
-    met = stars.where(close).select(side("b.low").alias("x"), side("b").alias("y"))
-    first = checkpointed(verified(docs, met, shingle, similarity))
+    least = rows.groupBy("g").agg(F.min(F.struct("doc_id", *bits, "bands")).alias("low"), F.count("*").alias("n"))
+    groups = checkpointed(least.select(F.col("low.doc_id").alias("v"), "g", *[f"low.{c}" for c in (*bits, "bands")], "n"))
+
+    near = met_by(groups.select("v", "u", "bands"), "nearest")
+    lowest = near.groupBy("key").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n_key"))
+    # as a rule a key of shingles has one document
+    shared = checkpointed(lowest.where("low < high").drop("high"))
+    likely = marked_by(near, shared, "key").where("_marked").drop("_marked")
+    meeting = checkpointed(join_groups(likely, shared, "key", "n_key").where("low is not null").select("key", "v", "low"))
+    stars = meeting.where("low < v").select(F.col("low").alias("xv"), F.col("v").alias("yv")).distinct()
+    sides = groups.select("v", F.struct("g", *SHINGLE_BITS).alias("of"))
+    with_sides = (
+        stars.join(sides.select(F.col("v").alias("xv"), F.col("of").alias("x")), "xv")
+        .join(sides.select(F.col("v").alias("yv"), F.col("of").alias("y")), "yv")
+    )
+    close = with_sides.where(wide_distance("x", "y") <= most)
+    first = checkpointed(verified(docs, close.select("xv", F.col("x.g").alias("xg"), "yv", F.col("y.g").alias("yg")), shingle, similarity))
 
     roots = components(first)
-    marked = groups.drop("n").join(roots, "v", "left").withColumn("c", F.coalesce("root", "v")).drop("root")
+    marked = groups.drop("n", "bands").join(roots, "v", "left").withColumn("c", F.coalesce("root", "v")).drop("root")
     marked = checkpointed(marked)
     # a row goes on for each of its keys, so what only pairs need is looked up for these
-    every = met_by(marked.select("v", "u", *SHINGLE_BITS, "c", "bands"), "both")
+    narrow = marked.select("v", *SHINGLE_BITS, "c", "u")
+    golay = keyed(narrow, "both", "u").drop("u")
+    # keys of shingles are no Golay keys, and those that one document has meet nothing
+    of_shingles = meeting.where(~F.col("key").between(0, (len(SEGMENT_PAIRS) << 24) - 1)).select("key", "v")
+    every = golay.union(of_shingles.join(narrow.drop("u"), "v").select(*golay.columns))
     x, y = every.alias("x"), every.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.v") < F.col("y.v")) & (F.col("x.c") != F.col("y.c"))
     close = x.join(y, apart & (wide_distance("x", "y") <= most)).select(F.col("x.v").alias("xv"), F.col("y.v").alias("yv"))
-    known = marked.select("v", F.struct(*SIDE).alias("of"))
     met = (
         checkpointed(close.distinct())
-        .join(known.select(F.col("v").alias("xv"), F.col("of").alias("x")), "xv")
-        .join(known.select(F.col("v").alias("yv"), F.col("of").alias("y")), "yv")
-        .select("x", "y")
+        .join(marked.select(F.col("v").alias("xv"), F.col("g").alias("xg")), "xv")
+        .join(marked.select(F.col("v").alias("yv"), F.col("g").alias("yg")), "yv")
     )
     joined = components(first.union(verified(docs, met, shingle, similarity)))
     named = groups.join(joined, "v", "left").select("g", "n", F.coalesce("root", "v").alias("component_id"))
@@ -512,5 +538,8 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float
     that stays.
     """
     found = similar_components(docs, shingle, similarity)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = checkpointed(found.where("doc_id <> component_id").select("doc_id").distinct())
+    marked = marked_by(docs, gone, "doc_id")
+    # texts that surely stay are not shuffled
+    kept = marked.where(~F.col("_marked")).select(*docs.columns)
+    return kept.union(marked.where("_marked").join(gone, "doc_id", "left_anti").select(*docs.columns))
