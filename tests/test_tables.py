@@ -239,3 +239,22 @@ def test_shared_folder_is_the_one_the_session_names(spark):
     if folder is None:
         pytest.skip("no folder configured")
     assert new_folder(spark, "x").startswith(folder.rstrip("/") + "/x-")
+
+
+def test_whole_history_looks_for_frequent_notices_before_copies_are_dropped(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(jobs, "hot_keys", lambda df: seen.append(df.count()) or [])
+    tx = spark.sql(
+        """SELECT concat('s:', id % 10) AS gtid, '1..' AS context, timestamp'2024-01-01' AS time FROM range(30)"""
+    )
+    events = spark.sql(
+        """SELECT 'd' AS db, 't' AS `table`, 0 AS action, concat('s:', id) AS gtid, 'x' AS data,
+        timestamp'2024-01-01' AS time FROM range(5)"""
+    )
+    jobs.backfill(spark, str(tmp_path), tx, events, seq=1, tz="UTC")
+    assert seen == [30]
+    assert tables.read_audit(spark, str(tmp_path)).count() == 5
+    monkeypatch.setattr(jobs, "hot_keys", lambda df: seen.append(df.count()) or ["s:1"])
+    jobs.backfill(spark, str(tmp_path), tx, events, seq=1, tz="UTC", run="hot")
+    assert seen == [30, 30, 10]
+    assert tables.read_audit(spark, str(tmp_path)).count() == 10
