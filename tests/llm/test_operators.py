@@ -143,6 +143,72 @@ def test_similar_pairs_are_found(documents, kind):
     assert sum(found[2 * i + 1] == 2 * i for i in alike) >= 0.99 * len(alike)
 
 
+@pytest.mark.parametrize("small", [{}, {"hot_rows": 5, "block_shingles": 900, "block_texts": 4}])
+def test_a_dense_group_below_the_similarity_lists_no_pairs(documents, monkeypatch, small):
+    rng = random.Random(11)
+    shared = [f"w{rng.randrange(900)}" for _ in range(70)]
+    rows = []
+    for i in range(0, 80, 2):
+        words = shared + [f"w{rng.randrange(900)}" for _ in range(38)]
+        rows += [(i, " ".join(words)), (i + 1, " ".join(words[:-3] + ["x"] * 3))]
+    counts = [five_word_counts(text) for _, text in rows]
+    close = {(a, b) for a in range(80) for b in range(a + 1, 80) if cosine(counts[a], counts[b]) >= 0.8}
+    assert close == {(a, a + 1) for a in range(0, 80, 2)}
+    listed, verified = [], simhash.verified
+
+    def counted(docs, pairs, *args):
+        listed.append(pairs.count())
+        return verified(docs, pairs, *args)
+
+    monkeypatch.setattr(simhash, "verified", counted)
+    found = {r.doc_id: r.component_id for r in simhash.similar_components(documents(rows), **small).collect()}
+    assert found == {i: i - i % 2 for i in range(80)}
+    assert sum(listed) < 800  # there are 3120 pairs of different components
+
+
+def test_rows_with_candidates_come_once_each(documents):
+    spark = documents([]).sparkSession
+    sides = [(k, 10 * k + v, 0 if v < 8 else 255, 0, 0, 0, v // 2) for k in range(3) for v in range(10)]
+    rows = spark.createDataFrame(sides + [(9, v, 0, 0, 0, 0, 1) for v in range(6)], "key long, v long, s0 long, s1 long, s2 long, s3 long, c long")
+    expected = [(k, 10 * k + v) for k in range(3) for v in range(8)]
+    for hot_rows in (3, 7, 100):
+        found = simhash.with_candidates(rows, rows.select("key", "c"), 4, hot_rows)
+        assert sorted(tuple(r) for r in found.collect()) == expected
+
+
+def test_edges_within_a_block_connect_what_its_pairs_connect():
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(60):
+        kept = rng.random(40) < 0.88
+        own = rng.integers(1000, 10**6, rng.integers(0, 4))
+        distinct = np.unique(np.concatenate([np.arange(40)[kept], own])).astype(np.uint64)
+        texts.append((distinct, rng.integers(1, 4, len(distinct))))
+    texts.append((np.empty(0, np.uint64), np.empty(0, np.int64)))
+    vectors = [Counter(dict(zip(d.tolist(), c.tolist()))) for d, c in texts]
+    alike = {(a, b) for a in range(61) for b in range(a) if cosine(vectors[a], vectors[b]) >= 0.85}
+    sides = np.arange(61) % 2
+
+    def classes(pairs):
+        low = list(range(61))
+        for _ in low:
+            for a, b in pairs:
+                low[a] = low[b] = min(low[a], low[b])
+        return low
+
+    for step in (7, simhash.STEP_SHARED):
+        simhash.STEP_SHARED, before = step, simhash.STEP_SHARED
+        try:
+            found = simhash.similar_in_block(texts, np.arange(61), None, 0.85)
+            across = simhash.similar_in_block(texts, np.arange(61), sides, 0.85)
+            none = simhash.similar_in_block(texts, np.zeros(61, np.int64), None, 0.85)
+        finally:
+            simhash.STEP_SHARED = before
+        assert {(max(p), min(p)) for p in found} <= alike and len(found) < 61 and none == []
+        assert 1 < len(set(classes(alike))) < 61 and classes(found) == classes(alike)
+        assert classes(across) == classes([p for p in alike if sides[p[0]] != sides[p[1]]])
+
+
 def test_pairs_of_one_text_are_dealt_out_to_several_groups(documents, monkeypatch):
     monkeypatch.setattr(simhash, "HUB_PAIRS", 3)
     rng = random.Random(5)

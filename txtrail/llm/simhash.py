@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txtrail.llm.common import components, join_groups, marked_by, sliced
+from txtrail.llm.common import SLICE_CHARS, components, join_groups, marked_by, release_memory, sliced, slices
 from txtrail.session import checkpointed
 
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -372,11 +372,11 @@ def band_keys(distinct: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, g, u, s, bands): a digest of the shingle counts, 64 bits over the distinct
-    words of each whole text, 256 bits and keys over its shingles."""
+    """(doc_id, g, u, s, m, bands): a digest of the shingle counts, 64 bits over the distinct
+    words of each whole text, 256 bits over its shingles, their number and keys."""
     from pyspark.sql import types as T
 
-    longs = [T.StructField(n, T.LongType()) for n in ("g", "u", *SHINGLE_BITS)]
+    longs = [T.StructField(n, T.LongType()) for n in ("g", "u", *SHINGLE_BITS, "m")]
     schema = T.StructType([docs.schema["doc_id"], *longs, T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,9 +389,9 @@ def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
                 of_words.add(np.array(digests, np.uint64))
                 every, distinct, counts = shingle_counts(data, shingle)
                 of_shingles.add(every)
-                rows.append([counts_digest(distinct, counts), of_words.value()[0], *of_shingles.value()])
+                rows.append([counts_digest(distinct, counts), of_words.value()[0], *of_shingles.value(), len(every)])
                 bands.append(band_keys(distinct))
-            columns = [pa.array(np.ascontiguousarray(c)) for c in np.array(rows, np.int64).reshape(-1, 2 + WIDE).T]
+            columns = [pa.array(np.ascontiguousarray(c)) for c in np.array(rows, np.int64).reshape(-1, 3 + WIDE).T]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(bands, pa.list_(pa.int64()))], schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -400,6 +400,10 @@ def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
 SHINGLE_BITS = [f"s{i}" for i in range(WIDE)]
 # Texts that meet one text in one group; a text with more pairs is sent to several groups.
 HUB_PAIRS = 1000
+# A block of texts that are compared with each other has about so many shingles and texts at most.
+BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 20, 2048
+# Shingles that two texts share are looked up in steps of about so many.
+STEP_SHARED = 1 << 20
 
 
 def wide_distance(a: str, b: str) -> Column:
@@ -470,7 +474,132 @@ def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float)
     return similar_to_hub(grouped, shingle, similarity).distinct()
 
 
-def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+def with_candidates(rows: DataFrame, keys: DataFrame, most: int, hot_rows: int) -> DataFrame:
+    """(key, v): the rows that have a row of another component within `most` bits under their key.
+
+    `rows` has (key, v, s, c), `keys` (key, c) of the same rows. Pairs are looked for and not
+    listed: a row comes out once, whatever the number of its candidates. Keys of more than
+    hot_rows rows are dealt out to several tasks.
+    """
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
+    hot = checkpointed(sizes.where(F.col("n") > hot_rows))
+    apart = (F.col("x.v") != F.col("y.v")) & (F.col("x.c") != F.col("y.c")) & (wide_distance("x", "y") <= most)
+
+    def found(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on]
+        return left.alias("x").join(right.alias("y"), [*same, apart], "left_semi").select("key", "v")
+
+    if hot.isEmpty():
+        return found(rows, rows, ["key"])
+    cold = rows.join(F.broadcast(hot.select("key")), "key", "left_anti")
+    mixed_keys = hot.where("low <> high").select("key", F.ceil(F.col("n") / hot_rows).cast("int").alias("parts"))
+    dealt = rows.join(F.broadcast(mixed_keys), "key")
+    left = dealt.withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).drop("parts")
+    right = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return found(cold, cold, ["key"]).union(found(left, right, ["key", "part"]))
+
+
+def similar_in_block(
+    texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, sides: np.ndarray | None, similarity: float
+) -> list[tuple[int, int]]:
+    """Pairs of places whose shingle counts have that cosine similarity, as many as connect
+    what all such pairs of different labels connect; of different sides, if there are any."""
+    n = len(texts)
+    owner = np.repeat(np.arange(n), [len(d) for d, _ in texts])
+    shingles = np.concatenate([np.empty(0, np.uint64), *(d for d, _ in texts)])
+    counts = np.concatenate([np.empty(0, np.int64), *(c for _, c in texts)]).astype(np.float64)
+    norms = np.bincount(owner, counts**2, n)
+    # places of each shingle are next to each other; those of one text alone meet nothing
+    _, at, times = np.unique(shingles, return_inverse=True, return_counts=True)
+    several = times[at] > 1
+    owner, counts, at = owner[several], counts[several], at[several]
+    order = np.argsort(at, kind="stable")
+    holders, held = owner[order], counts[order]
+    ends = np.cumsum(np.bincount(at, minlength=len(times)))
+    starts = ends - np.bincount(at, minlength=len(times))
+    bounds = np.searchsorted(owner, np.arange(n + 1))
+    labels, pairs = labels.copy(), []
+    # of two labels, one is not the most frequent one
+    values, frequent = np.unique(labels, return_counts=True)
+    for x in np.nonzero(labels != values[frequent.argmax()])[0] if n else []:
+        own, mine = at[bounds[x] : bounds[x + 1]], counts[bounds[x] : bounds[x + 1]]
+        lengths = ends[own] - starts[own]
+        product, steps = np.zeros(n), np.cumsum(lengths) // STEP_SHARED
+        for part in np.split(np.arange(len(own)), np.nonzero(np.diff(steps))[0] + 1):
+            size = lengths[part]
+            places = np.repeat(starts[own[part]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            product += np.bincount(holders[places], np.repeat(mine[part], size) * held[places], n)
+        # a similarity of just that value is not lost to rounding
+        linked = (product > 0) & (product * (1 + 1e-12) >= similarity * np.sqrt(norms[x] * norms))
+        if sides is not None:
+            linked &= sides != sides[x]
+        for y in np.nonzero(linked & (labels != labels[x]))[0]:
+            if labels[y] != labels[x]:
+                pairs.append((int(x), int(y)))
+                labels[labels == labels[y]] = labels[x]
+    return pairs
+
+
+def verified_in_groups(
+    docs: DataFrame, groups: DataFrame, shingle: int, similarity: float, shingles: int, texts: int
+) -> DataFrame:
+    """(a, b): documents of one group with that cosine similarity, as many as connect what all
+    such pairs of different components in a group connect.
+
+    `groups` has (hub, v, g, c, m): hub names the group. Pairs are neither rows nor messages:
+    a group is cut into blocks of about so many shingles and texts at most, and each two blocks
+    meet in a task, which holds their texts and gives edges of a forest.
+    """
+    sizes = checkpointed(groups.groupBy("hub").agg(F.count("*").alias("n_hub"), F.sum("m").alias("m_hub")))
+    blocks = F.least("n_hub", F.greatest(F.ceil(F.col("n_hub") / texts), F.ceil(F.col("m_hub") / shingles), F.lit(1)))
+    several = checkpointed(sizes.where("n_hub > 1").select("hub", "n_hub", blocks.cast("int").alias("blocks")))
+    dealt = (
+        join_groups(groups, several, "hub", "n_hub")
+        .where("blocks is not null")
+        .withColumn("own", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "g", "c")
+    )
+    asked = checkpointed(dealt)
+    rows = docs.select(F.col("doc_id").alias("v"), "text")
+    met = marked_by(rows, asked, "v").where("_marked").drop("_marked").join(asked, "v")
+    kind = asked.schema["v"].dataType
+
+    def run(group: pa.Table) -> pa.Table:
+        known, found = {}, []
+        for batch in (part for whole in group.to_batches() if whole.num_rows for part in slices(whole)):
+            columns = (batch[c].to_pylist() for c in ("v", "g", "c", "own"))
+            for text, v, g, c, own in zip(batch["text"], *columns):
+                if (v, g) in known:
+                    continue  # the same row again
+                data = text.as_buffer().to_pybytes().translate(LOWER) if text.is_valid else b""
+                _, distinct, counts = shingle_counts(data, shingle)
+                if counts_digest(distinct, counts) != g:
+                    continue  # another text under the same doc_id
+                known[v, g] = (c, own)
+                found.append((distinct, counts))
+        ids = [v for v, _ in known]
+        names = {c: n for n, c in enumerate(dict.fromkeys(c for c, _ in known.values()))}
+        labels = np.array([names[c] for c, _ in known.values()], np.int64)
+        sides = np.array([own for _, own in known.values()], np.int64)
+        across = group["i"][0].as_py() != group["j"][0].as_py()
+        pairs = similar_in_block(found, labels, sides if across else None, similarity)
+        columns = [pa.array([ids[p[k]] for p in pairs], group.schema.field("v").type) for k in (0, 1)]
+        if group.nbytes > SLICE_CHARS:
+            release_memory()
+        return pa.table(columns, ["a", "b"])
+
+    return met.groupBy("hub", "i", "j").applyInArrow(run, f"a {kind.simpleString()}, b {kind.simpleString()}").distinct()
+
+
+def similar_components(
+    docs: DataFrame,
+    shingle: int = 5,
+    similarity: float = SIMILARITY,
+    hot_rows: int = BLOCK,
+    block_shingles: int = BLOCK_SHINGLES,
+    block_texts: int = BLOCK_TEXTS,
+) -> DataFrame:
     """(doc_id, component_id) of each document with a doc_id.
 
     Two documents are linked when the cosine similarity of their shingle counts is at least
@@ -484,13 +613,15 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = SI
     shingle counts are one group.
 
     Links to the smallest document of a key come first; from then on only pairs of different
-    components are compared, so dense groups do not emit their pairs. Rows for a key are as
+    components are compared, and never listed, neither before their texts are looked at nor
+    after: documents with a candidate are found by a semi join, go once to the smallest of
+    them that shares a key, and a group is compared within its task. Rows for a key are as
     narrow as they can be, as there are dozens of them for each document.
     """
     most = int(256 * np.arccos(similarity) / np.pi) + MARGIN
     docs = docs.where(F.col("doc_id").isNotNull())
     rows = checkpointed(wide_fingerprints(docs, shingle))
-    bits = ["u", *SHINGLE_BITS]
+    bits = ["u", *SHINGLE_BITS, "m"]
     least = rows.groupBy("g").agg(F.min(F.struct("doc_id", *bits, "bands")).alias("low"), F.count("*").alias("n"))
     groups = checkpointed(least.select(F.col("low.doc_id").alias("v"), "g", *[f"low.{c}" for c in (*bits, "bands")], "n"))
 
@@ -518,15 +649,13 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = SI
     # keys of shingles are no Golay keys, and those that one document has meet nothing
     of_shingles = meeting.where(~F.col("key").between(0, (len(SEGMENT_PAIRS) << 24) - 1)).select("key", "v")
     every = golay.union(of_shingles.join(narrow.drop("u"), "v").select(*golay.columns))
-    x, y = every.alias("x"), every.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.v") < F.col("y.v")) & (F.col("x.c") != F.col("y.c"))
-    close = x.join(y, apart & (wide_distance("x", "y") <= most)).select(F.col("x.v").alias("xv"), F.col("y.v").alias("yv"))
-    met = (
-        checkpointed(close.distinct())
-        .join(marked.select(F.col("v").alias("xv"), F.col("g").alias("xg")), "xv")
-        .join(marked.select(F.col("v").alias("yv"), F.col("g").alias("yg")), "yv")
-    )
-    joined = components(first.union(verified(docs, met, shingle, similarity)))
+    keys = keyed(marked.select("c", "u"), "both", "u").select("key", "c").union(of_shingles.join(marked.select("v", "c"), "v").select("key", "c"))
+    close = checkpointed(with_candidates(every, keys, most, hot_rows))
+    # both documents of a pair are among the rows of their key, so they share its smallest one
+    hubs = checkpointed(close.groupBy("key").agg(F.min("v").alias("hub"), F.count("*").alias("n_key")))
+    met = join_groups(close, hubs, "key", "n_key").select("hub", "v").distinct().join(marked.select("v", "g", "c", "m"), "v")
+    second = verified_in_groups(docs, checkpointed(met), shingle, similarity, block_shingles, block_texts)
+    joined = components(first.union(second))
     named = groups.join(joined, "v", "left").select("g", "n", F.coalesce("root", "v").alias("component_id"))
     return join_groups(rows.select("doc_id", "g"), checkpointed(named), "g", "n").select("doc_id", "component_id")
 
