@@ -1,6 +1,8 @@
 import base64
 import datetime as dt
 import json
+import os
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Row
@@ -10,6 +12,7 @@ import txtrail
 from txtrail.options import TopicOptions, TrailOptions
 from txtrail.operators import state
 from txtrail.plans import jobs
+from txtrail.session import SHUFFLE_CLEANUP
 from txtrail.sources import handlers, tables
 from txtrail.sources.topics import encode_events, encode_tx
 from txtrail.streaming import ingest, online, reconcile
@@ -302,3 +305,30 @@ def test_landed_messages_make_more_files_when_there_are_more(spark, tmp_path, mo
     # still two batches
     assert topic.options["maxFilesPerTrigger"] == "5"
     assert catalog.landed(messages.limit(5), str(tmp_path / "few")).options["maxFilesPerTrigger"] == "2"
+
+
+def test_messages_take_little_disk_and_leave_no_shuffle_behind(spark, tmp_path):
+    from txtrail.plans import catalog
+
+    lines = spark.range(5000).selectExpr(
+        "id AS l_orderkey", "id AS l_partkey", "1 AS l_linenumber", "'A' AS l_returnflag",
+        "'O' AS l_linestatus", "timestamp_ntz '2024-01-01 00:00:00' AS l_shipdate",
+    )
+    orders = spark.range(5).selectExpr(
+        "id AS o_orderkey", "'O' AS o_orderstatus", "timestamp_ntz '2024-01-01 00:00:00' AS o_orderdate"
+    )
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    published = catalog.stream_publish(spark, str(tmp_path))
+    files = [f.removeprefix("file://") for f in published.inputFiles()]
+    told = published.selectExpr("sum(length(value))").first()[0]
+    assert published.count() == 5000
+    assert sum(os.path.getsize(f) for f in files) < told / 4
+    landed = files[0].rsplit("/", 2)[0] + "/raw"
+    assert sum(p.stat().st_size for p in Path(landed).glob("part-*")) < told / 4
+
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    catalog.landed(spark.range(100).selectExpr("CAST(id AS STRING) AS value"), str(tmp_path / "some"))
+    assert tracker.shuffleStatuses().size() <= before
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) is None

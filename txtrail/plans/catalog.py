@@ -759,6 +759,8 @@ def handler_failures_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # A file of messages holds about this many, so that none grows with the input.
 MESSAGES_PER_FILE = 250_000
+# Messages repeat their field names and ids: they take about a tenth of the disk this way.
+COMPRESSED = {"compression": "gzip"}
 
 
 def files_of(df: DataFrame, least: int) -> int:
@@ -767,9 +769,9 @@ def files_of(df: DataFrame, least: int) -> int:
 
 
 def landed(df: DataFrame, folder: str) -> TopicOptions:
-    """Messages written as a folder of text files, at least four, read in two batches."""
+    """Messages written as a folder of compressed text files, at least four, read in two batches."""
     files = files_of(df, 4)
-    topics.write_topic(df.repartition(files), "text", {"path": folder})
+    topics.write_topic(df.repartition(files), "text", {"path": folder, **COMPRESSED})
     return TopicOptions("text", {"path": folder, "maxFilesPerTrigger": str(-(-files // 2))})
 
 
@@ -797,7 +799,7 @@ def stream_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "stream")
     raw = fx.raw_changes(spark, sf_dir)
     source = landed(raw.select(F.to_json(F.struct(*raw.columns)).alias("value")), f"{folder}/raw")
-    sink = TopicOptions("text", {"path": f"{folder}/binlog"})
+    sink = TopicOptions("text", {"path": f"{folder}/binlog", **COMPRESSED})
     options = TrailOptions(f"{folder}/store", f"{folder}/checkpoints", tables=TABLES)
     ingest.start_publish(spark, options, source, sink, ONCE).awaitTermination()
     return spark.read.text(f"{folder}/binlog")

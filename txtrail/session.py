@@ -6,11 +6,16 @@ import functools
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+# Shuffle files of a finished query are deleted, known to Spark from 4.1 on.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 # Settings the jobs are written for; a cluster sets its own sizes on top.
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
@@ -64,6 +69,23 @@ def query_id(spark: SparkSession, checkpoint: str) -> str:
     return _query_id(spark, checkpoint)
 
 
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that starts in here go as soon as it has run.
+
+    Otherwise they stay until the driver happens to collect the plan as garbage.
+    """
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder, with no lineage behind them."""
     shared_folder(df.sparkSession)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from txtrail.functions.payload import computed_once
 from txtrail.options import TopicOptions
 from txtrail.schemas import EVENT_ENVELOPE, RAW_CHANGE, TX_ENVELOPE
+from txtrail.session import shuffles_released
 
 CORRUPT = "_corrupt_record"
 
@@ -101,4 +102,5 @@ def encode_tx(df: DataFrame) -> DataFrame:
 
 def write_topic(df: DataFrame, format: str, options: dict[str, str]) -> None:
     """Appends encoded values to a topic (`kafka`) or to a folder (`text`)."""
-    df.select("value").write.format(format).options(**options).mode("append").save()
+    with shuffles_released(df.sparkSession):
+        df.select("value").write.format(format).options(**options).mode("append").save()
