@@ -332,3 +332,44 @@ def test_messages_take_little_disk_and_leave_no_shuffle_behind(spark, tmp_path):
     catalog.landed(spark.range(100).selectExpr("CAST(id AS STRING) AS value"), str(tmp_path / "some"))
     assert tracker.shuffleStatuses().size() <= before
     assert spark.conf.get(SHUFFLE_CLEANUP, None) is None
+
+
+def test_second_round_writes_few_files_a_day(spark, options):
+    """Failed calls of many days, called again by several tasks."""
+    day, days = 86_400, 6
+    rows = [(int(NOW.timestamp()) - (n % days) * day, "1..", f"s:{n}") for n in range(120)]
+    send_events(spark, options, *[f"s:{n}" for n in range(120)])
+    send(options.tx_topic, encode_tx(spark.createDataFrame(rows, TX)))
+
+    def broken(record):
+        raise KeyError(record["gtid"])
+
+    trail = txtrail.build(spark, options)
+    trail.run_available(handlers.per_record(broken))
+    several = {
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {key: spark.conf.get(key, None) for key in several}
+    try:
+        for key, value in several.items():
+            spark.conf.set(key, value)
+        jobs.redeliver(spark, options, broken, "again")
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    again = tables.read_outcomes(spark, options.store, "again")
+    assert sorted(r.gtid for r in again.collect()) == sorted(f"s:{n}" for n in range(120))
+    assert again.where("call_no = 2 AND kind = 'KeyError'").count() == 120
+    assert len(again.inputFiles()) == days
+
+
+def test_candidate_events_are_not_copied_to_disk(spark, options):
+    send_events(spark, options, "a")
+    txtrail.build(spark, options).run_available()
+    tx = spark.createDataFrame([("a", "1..", NOW)], "gtid string, context string, time timestamp")
+    events = online.wait_for_events(spark, options, tx)
+    assert events.count() == 1
+    assert events.storageLevel.useMemory and not events.storageLevel.useDisk
+    events.unpersist()

@@ -258,3 +258,20 @@ def test_whole_history_looks_for_frequent_notices_before_copies_are_dropped(spar
     jobs.backfill(spark, str(tmp_path), tx, events, seq=1, tz="UTC", run="hot")
     assert seen == [30, 30, 10]
     assert tables.read_audit(spark, str(tmp_path)).count() == 10
+
+
+def test_small_files_have_small_id_filters(spark, tmp_path):
+    """A filter of a fixed size is 1 MB a file, however few ids are in it."""
+    events = spark.range(300).selectExpr(
+        "'d' AS db", "'t' AS `table`", "1 AS action", "concat('s:', id) AS gtid", "'{}' AS data",
+        "timestamp '2024-03-01 10:00:00 UTC' AS event_time",
+        "timestamp '2024-03-01 10:00:00 UTC' + make_interval(0, 0, 0, id % 3) AS ingest_time",
+    )
+    store = str(tmp_path / "store")
+    tables.append_events(events, store, "a", "UTC", merge=True)
+    path = tables.event_path(store)
+    assert len(tables.close_days(spark, path, ["20240301", "20240302", "20240303"])) == 3
+    files = list((tmp_path / "store").rglob("*.parquet"))
+    assert len(files) >= 6
+    assert max(f.stat().st_size for f in files) < 30_000
+    assert tables.read_events(spark, store).where("gtid = 's:77'").count() == 1

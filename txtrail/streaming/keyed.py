@@ -33,7 +33,7 @@ from txtrail.session import query_id
 from txtrail.sources.handlers import Handler, deliver
 from txtrail.sources.tables import append_tx
 from txtrail.sources.topics import decode_events, decode_tx, good_rows, read_topic
-from txtrail.streaming.online import TX_KEY, candidate_events, correlate
+from txtrail.streaming.online import IN_MEMORY, TX_KEY, candidate_events, correlate
 
 # Executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -225,7 +225,7 @@ def process_outcomes(
     now = F.unix_micros(F.lit(as_of or dt.datetime.now(dt.timezone.utc)).cast("timestamp"))
     batch = f"keyed-{query}-{batch_id}"
     due = decided.where(F.col("outcome") == RECORD)
-    events = candidate_events(spark, options, due).persist()
+    events = candidate_events(spark, options, due).persist(IN_MEMORY)
     stored = events.groupBy("gtid").agg(F.count("*").alias("n_stored"))
     ready = due.join(stored, "gtid").where("n_stored >= n_events").select(*TX_KEY)
     written = correlate(spark, options, ready, events, batch, as_of or dt.datetime.now(dt.timezone.utc), judged=True)

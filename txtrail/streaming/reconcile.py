@@ -17,7 +17,7 @@ from txtrail.plans.jobs import upkeep
 from txtrail.schemas import STATUS_PROCESSED
 from txtrail.sources.handlers import Handler, deliver
 from txtrail.sources.tables import append_tx, read_tx_versions
-from txtrail.streaming.online import TX_KEY, candidate_events, correlate
+from txtrail.streaming.online import IN_MEMORY, TX_KEY, candidate_events, correlate
 
 
 def reconcile_once(
@@ -45,7 +45,7 @@ def reconcile_once(
     if pending.isEmpty():
         pending.unpersist()
         return False
-    events = candidate_events(spark, options, pending).persist()
+    events = candidate_events(spark, options, pending).persist(IN_MEMORY)
     written = correlate(spark, options, pending.select(*TX_KEY), events, batch, as_of)
     events.unpersist()
     pending.unpersist()
