@@ -373,3 +373,23 @@ def test_candidate_events_are_not_copied_to_disk(spark, options):
     assert events.count() == 1
     assert events.storageLevel.useMemory and not events.storageLevel.useDisk
     events.unpersist()
+
+
+def test_topics_of_the_registered_streams_are_compressed(spark, tmp_path):
+    from txtrail.plans import catalog
+
+    at = "timestamp_ntz '2024-01-01 00:00:00'"
+    spark.range(4000).selectExpr(
+        "id % 1000 AS l_orderkey", "id AS l_partkey", "1 AS l_linenumber", "'N' AS l_returnflag",
+        "'F' AS l_linestatus", f"{at} AS l_shipdate",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(1000).selectExpr(
+        "id AS o_orderkey", "id AS o_custkey", "'O' AS o_orderstatus", "'1-URGENT' AS o_orderpriority",
+        f"{at} AS o_orderdate",
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    options = catalog.stream_options(spark, str(tmp_path))
+    for topic, n in ((options.events_topic, 4000), (options.tx_topic, 1000)):
+        folder = topic.options["path"]
+        told = spark.read.text(folder).selectExpr("count(*) AS n", "sum(length(value)) AS length").first()
+        assert told.n == n
+        assert sum(p.stat().st_size for p in Path(folder).glob("part-*")) < told.length / 3
