@@ -393,3 +393,20 @@ def test_topics_of_the_registered_streams_are_compressed(spark, tmp_path):
         told = spark.read.text(folder).selectExpr("count(*) AS n", "sum(length(value)) AS length").first()
         assert told.n == n
         assert sum(p.stat().st_size for p in Path(folder).glob("part-*")) < told.length / 3
+
+
+def test_reconcile_copies_nothing_to_disk(spark, options, monkeypatch):
+    levels, correlate = [], reconcile.correlate
+
+    def seen(spark, options, tx, events, *more):
+        levels.append(events.storageLevel)
+        return correlate(spark, options, tx, events, *more)
+
+    monkeypatch.setattr(reconcile, "correlate", seen)
+    send_tx(spark, options, ("a", "1.."))
+    txtrail.build(spark, options).run_available()
+    send_events(spark, options, "a")
+    ingest.start_ingest(spark, options, ONCE).awaitTermination()
+    assert reconcile.reconcile_once(spark, options, 0)
+    assert statuses(spark, options) == {("a", 2)}
+    assert levels and not any(level.useDisk for level in levels)

@@ -41,7 +41,7 @@ def reconcile_once(
     # the files of `versions` are fixed by now: what is appended below is not seen
     pending = pending_notices(
         versions, now, options.lookback_hours, options.pending_limit
-    ).persist()
+    ).persist(IN_MEMORY)
     if pending.isEmpty():
         pending.unpersist()
         return False
